@@ -117,11 +117,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, mode: str = "cos
     bc = max(1, math.ceil(nc / block_rows))
     qcols = [c for c in ("qid", "vec", "terms", "signs", "exclude") if c in queries.columns]
     q = (queries.select(*qcols)
-         .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(bq)))
-         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
+         .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int"))
+         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)).cast("array<int>"))))
     c = (candidates.select("cid", "vec")
-         .withColumn("_cb", F.pmod(F.xxhash64("cid"), F.lit(bc)))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
+         .withColumn("_cb", F.pmod(F.xxhash64("cid"), F.lit(bc)).cast("int"))
+         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<int>"))))
+    # both sides must group on identically typed keys, or the cogroup pairs
+    # different hash partitions
     part = (q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb"))
             .applyInPandas(_kernel(mode, k, eps), schema=_OUT))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("cid"))

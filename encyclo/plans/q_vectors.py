@@ -174,3 +174,27 @@ def v7_word_algebra(spark, sf_dir):
                           F.array().cast("array<long>").alias("positives"),
                           F.array(F.col("vec_id").cast("long")).alias("negatives"))
     return VO.word_algebra(mixed.unionByName(only_neg), emb)
+
+
+@register("g3_shortest_paths")
+def g3_shortest_paths(spark, sf_dir):
+    """Exact shortest path from every vector to the next id over its 5-NN graph (cost 1 - cos)."""
+    from ..operators.graph import shortest_paths
+    emb = _emb(spark, sf_dir)
+    edges = VO.knn_graph(emb, k=5).checkpoint()
+    ids = emb.select(F.col("vec_id").cast("long").alias("source"))
+    pairs = (ids.join(ids.select(F.col("source").alias("target")), F.col("target") == F.col("source") + 1)
+             .withColumn("qid", F.col("source")))
+    return shortest_paths(edges, pairs)
+
+
+@register("g4_beam_paths")
+def g4_beam_paths(spark, sf_dir):
+    """Weighted A*-like beam search (w=4, beam 60) for the same pairs as g3."""
+    from ..operators.graph import shortest_paths
+    emb = _emb(spark, sf_dir)
+    edges = VO.knn_graph(emb, k=5).checkpoint()
+    ids = emb.select(F.col("vec_id").cast("long").alias("source"))
+    pairs = (ids.join(ids.select(F.col("source").alias("target")), F.col("target") == F.col("source") + 1)
+             .withColumn("qid", F.col("source")))
+    return shortest_paths(edges, pairs, vectors=emb, heuristic_weight=4.0, beam=60)
