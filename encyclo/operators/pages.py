@@ -57,10 +57,14 @@ def redirects_table(pages: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def build_tables(pages: DataFrame, cutoff: str | None = "20010115",
-                 truncate_at_bullet: bool = True) -> dict[str, DataFrame]:
-    """All keyed tables of a dump (``pages`` as from ``read_dump``)."""
-    titles = titles_table(pages)
-    redirects = redirects_table(pages, titles)
+                 truncate_at_bullet: bool = True, titles: DataFrame | None = None,
+                 redirects: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All keyed tables of a dump (``pages`` as from ``read_dump``).
+
+    ``titles``/``redirects`` of the whole corpus may be passed in when
+    ``pages`` is only a part of it (incremental ingest)."""
+    titles = titles if titles is not None else titles_table(pages)
+    redirects = redirects if redirects is not None else redirects_table(pages, titles)
     body = filter_after(pages, cutoff) if cutoff else pages
     body = body.where(~is_redirect())
     articles = body.where(is_article()).select("id", "raw_text")
