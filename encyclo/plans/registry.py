@@ -36,5 +36,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules fills the registry
-    from . import q_corpus, q_learn, q_relational, q_vectors  # noqa: F401
+    from . import q_corpus, q_learn, q_pages, q_relational, q_vectors  # noqa: F401
     return REGISTRY

@@ -58,10 +58,11 @@ def _escape(c: Column) -> Column:
 def articles_projection(titles: DataFrame, pages: DataFrame | None = None, *, categories: DataFrame | None = None,
                         domains: DataFrame | None = None, authors: DataFrame | None = None,
                         quality: DataFrame | None = None, importance: DataFrame | None = None,
-                        now: Column | None = None) -> DataFrame:
+                        now: Column | None = None, all_titles: DataFrame | None = None) -> DataFrame:
     """Rows of the ``articles`` table for non-redirect articles:
     id, title, categories, cited_domains, cited_authors, quality, importance,
-    created_at, updated_at, slug."""
+    created_at, updated_at, slug.  ``all_titles`` (default ``titles``) names
+    the categories."""
     now = now if now is not None else F.current_timestamp()
     base = titles.select("id", "title")
     if pages is not None:
@@ -74,7 +75,8 @@ def articles_projection(titles: DataFrame, pages: DataFrame | None = None, *, ca
                  .select("id", F.col(f"_l.{item}").alias(out))
     out = base
     if categories is not None:
-        cat_titles = R.attach_titles(categories, titles, id_col="category_id", out="cat_title", how="inner")
+        names = all_titles if all_titles is not None else titles
+        cat_titles = R.attach_titles(categories, names, id_col="category_id", out="cat_title", how="inner")
         out = out.join(lists(cat_titles, "cat_title", "_cats"), "id", "left")
     else:
         out = out.withColumn("_cats", F.lit(None).cast("array<string>"))
