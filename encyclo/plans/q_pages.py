@@ -164,3 +164,26 @@ def s15_update_source_quality(spark, sf_dir):
 def s13_links_tsv(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return S.to_tsv_lines(S.keyed_lists(t.w_links))
+
+
+# Wiki text derived from the tables: one page per order, one link and one
+# category tag per line item, in line order.  Extraction must give back the
+# line items: the link/category parsers run over whole pages at table scale.
+_WIKI_PAGES = """
+    select l_orderkey id,
+           concat_ws(' ', transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey))),
+                     x -> concat('See [[part ', cast(x.l_partkey as string), '|the part]] and ',
+                                 '[[Category:Supplier ', cast(x.l_suppkey as string), '|key]].'))) raw_text
+    from {lineitem} group by l_orderkey"""
+
+
+@register("p5_p6_extract_wikitext", """
+    select l_orderkey as id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as integer) as pos,
+           concat('Part_', cast(l_partkey as varchar)) as link,
+           concat('Category:Supplier_', cast(l_suppkey as varchar)) as category
+    from lineitem""")
+def p5_p6_extract_wikitext(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    pages = spark.sql(_WIKI_PAGES, lineitem=t.lineitem)
+    z = F.arrays_zip(M.extract_links("raw_text").alias("link"), M.extract_categories("raw_text").alias("category"))
+    return pages.select("id", F.posexplode(z).alias("pos", "x")).select("id", "pos", "x.link", "x.category")

@@ -229,3 +229,48 @@ def g2_deepen_categories(spark, sf_dir):
 def e1_search_rows(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return search_rows(t.customer, "BUILDING", columns=["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+
+
+@register("j7_talk_id_map", with_views("""
+    select k.id as talk_id, t.id as real_id
+    from alltitles k join alltitles t on substring(k.title, 6) = t.title
+    where k.title like 'Talk:%'""", "w_titles", "w_talk_titles",
+                                       extra={"alltitles": "select * from w_titles union all select * from w_talk_titles"}))
+def j7_talk_id_map(spark, sf_dir):
+    """Talk id -> article id inside one titles table holding both kinds of page."""
+    t = Tables(spark, sf_dir)
+    both = t.w_titles.unionByName(t.w_talk_titles)
+    return R.talk_to_article(both, both)
+
+
+@register("j13_category_parent_titles", with_views("""
+    select p.child_id, c.title as child_title, p.parent_id, t.title as parent_title
+    from w_category_parents p join w_titles c on p.child_id = c.id join w_titles t on p.parent_id = t.id""",
+                                                   "w_category_parents", "w_titles"))
+def j13_category_parent_titles(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    j = R.attach_titles(t.w_category_parents, t.w_titles, id_col="child_id", out="child_title", how="inner")
+    return R.attach_titles(j, t.w_titles, id_col="parent_id", out="parent_title", how="inner")
+
+
+@register("u5_insert_ignore", with_views("""
+    select id, title, quality from (select t.id, t.title, q.quality from w_titles t join w_quality q on t.id = q.id) x""",
+                                         "w_titles", "w_quality"))
+def u5_insert_ignore(spark, sf_dir):
+    """Rows already present (featured articles) + every article: each id once."""
+    from ..sources.sinks import insert_ignore
+    t = Tables(spark, sf_dir)
+    rows = t.w_titles.join(t.w_quality, "id").select("id", "title", "quality")
+    present = rows.where(F.col("quality").isin("fa", "a"))
+    return insert_ignore(present, rows)
+
+
+@register("s20_category_report", with_views(f"""
+    select 'String | ID | Article Count' as value
+    union all
+    select concat_ws(' | ', title, cast(category_id as varchar), cast(size as varchar)) from ({_LARGEST}) l""",
+                                            "w_categories", "w_titles"))
+def s20_category_report(spark, sf_dir):
+    from ..sources.sinks import category_report
+    t = Tables(spark, sf_dir)
+    return category_report(C.largest_categories(t.w_categories, t.w_titles, N_LARGEST))

@@ -198,3 +198,21 @@ def g4_beam_paths(spark, sf_dir):
     pairs = (ids.join(ids.select(F.col("source").alias("target")), F.col("target") == F.col("source") + 1)
              .withColumn("qid", F.col("source")))
     return shortest_paths(edges, pairs, vectors=emb, heuristic_weight=4.0, beam=60)
+
+
+@register("j14_neighbors_as_text", f"""WITH {_E},
+    nb AS (select id, neighbor_id, "rank" from (
+      select id, neighbor_id, row_number() over (partition by id order by similarity desc, neighbor_id) as "rank"
+      from (select a.vec_id id, b.vec_id neighbor_id, round({_COS.format(a='a', b='b')}, 6) similarity
+            from e a join e b on a.vec_id <> b.vec_id) s) r where "rank" <= 10),
+    titles AS (select p_partkey id, concat('Part_', cast(p_partkey as varchar)) title from part)
+    select nb.id, string_agg(t.title, ' | ' order by nb."rank") as neighbors
+    from nb left join titles t on nb.neighbor_id = t.id
+    group by nb.id having count(*) = count(t.title)""")
+def j14_neighbors_as_text(spark, sf_dir):
+    """Top-10 neighbours of each vector as ' | '-joined article titles (vector id = part key)."""
+    from ..operators.resolve import titles_for_lists
+    emb = _emb(spark, sf_dir)
+    nb = VO.similar_articles(emb, k=10)
+    titles = Tables(spark, sf_dir).w_titles
+    return titles_for_lists(nb, titles, key="id", member="neighbor_id", pos="rank", out="neighbors")
