@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, reliable_checkpoint
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int = 100,
@@ -33,8 +33,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int = 100,
     ensure_checkpoint_dir(spark)
     e = edges.select(F.col("src").alias("node"), "dst", F.col("cost").alias("w"))
     goals = pairs.select("qid", "target")
-    state = pairs.select("qid", F.col("source").alias("node"), F.lit(0.0).alias("cost"),
-                         F.array(F.col("source")).alias("path")).checkpoint()
+    state = reliable_checkpoint(pairs.select("qid", F.col("source").alias("node"), F.lit(0.0).alias("cost"),
+                                             F.array(F.col("source")).alias("path")))
     frontier = state
     goal_vec = None
     if beam is not None and vectors is not None and heuristic_weight > 0:
@@ -55,11 +55,11 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int = 100,
                 .select("qid", "node", "b.cost", "b.path"))
         improved = (best.join(state.select("qid", "node", F.col("cost").alias("_old")), ["qid", "node"], "left")
                     .where(F.col("_old").isNull() | (F.col("cost") < F.col("_old"))).drop("_old"))
-        improved = improved.checkpoint()
+        improved = reliable_checkpoint(improved)
         if improved.isEmpty():
             break
-        state = (state.join(improved.select("qid", "node"), ["qid", "node"], "left_anti")
-                 .unionByName(improved)).checkpoint()
+        state = reliable_checkpoint(state.join(improved.select("qid", "node"), ["qid", "node"], "left_anti")
+                                    .unionByName(improved))
         frontier = improved
         if goal_vec is not None:
             # every improvement is recorded in the state (so a pruned node only

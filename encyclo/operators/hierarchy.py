@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
+
 
 def ancestors(parents: DataFrame, max_depth: int = 3, checkpoint_every: int = 4) -> DataFrame:
     """(child_id, parent_id) -> (category_id, ancestor_id, depth), depth = shortest distance <= max_depth."""
@@ -26,7 +28,7 @@ def ancestors(parents: DataFrame, max_depth: int = 3, checkpoint_every: int = 4)
         frontier = new.select("category_id", "ancestor_id", F.lit(d).alias("depth"))
         known = known.unionByName(frontier)
         if checkpoint_every and d % checkpoint_every == 0:
-            known = known.checkpoint()
+            known = reliable_checkpoint(known)
             frontier = known.where(F.col("depth") == d)
     return known
 

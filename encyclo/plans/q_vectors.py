@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import vectors as VO
 from ..sources.fixtures import Tables
+from ..session import reliable_checkpoint
 from .registry import register
 
 # DuckDB building blocks: vectors in DOUBLE with their norms, class means.
@@ -181,7 +182,7 @@ def g3_shortest_paths(spark, sf_dir):
     """Exact shortest path from every vector to the next id over its 5-NN graph (cost 1 - cos)."""
     from ..operators.graph import shortest_paths
     emb = _emb(spark, sf_dir)
-    edges = VO.knn_graph(emb, k=5).checkpoint()
+    edges = reliable_checkpoint(VO.knn_graph(emb, k=5))
     ids = emb.select(F.col("vec_id").cast("long").alias("source"))
     pairs = (ids.join(ids.select(F.col("source").alias("target")), F.col("target") == F.col("source") + 1)
              .withColumn("qid", F.col("source")))
@@ -193,7 +194,7 @@ def g4_beam_paths(spark, sf_dir):
     """Weighted A*-like beam search (w=4, beam 60) for the same pairs as g3."""
     from ..operators.graph import shortest_paths
     emb = _emb(spark, sf_dir)
-    edges = VO.knn_graph(emb, k=5).checkpoint()
+    edges = reliable_checkpoint(VO.knn_graph(emb, k=5))
     ids = emb.select(F.col("vec_id").cast("long").alias("source"))
     pairs = (ids.join(ids.select(F.col("source").alias("target")), F.col("target") == F.col("source") + 1)
              .withColumn("qid", F.col("source")))

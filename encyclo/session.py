@@ -62,3 +62,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="encyclo-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the cluster's checkpoint folder (set up first
+    when the session has none, as in tests).  Never a local checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
