@@ -243,3 +243,25 @@ def topics(tokens: DataFrame, k: int = 10, vocab_size: int = 10000, max_iter: in
     cv = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=vocab_size, minDF=2).fit(tokens)
     lda = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="counts").fit(cv.transform(tokens))
     return lda, cv.vocabulary
+
+
+def vector_dataset(vectors: DataFrame, labels: DataFrame, per_class: int | None = None,
+                   id_col: str = "id", label_col: str = "label") -> DataFrame:
+    """Labelled document vectors, optionally the first ``per_class`` per class."""
+    j = labelled(vectors, labels, id_col)
+    return cap_per_class(j, per_class, label_col, id_col) if per_class else j
+
+
+def load_model(path: str):
+    """Load a saved pipeline model (see ``sinks.save_model``)."""
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(path)
+
+
+def run_task(train: DataFrame, test: DataFrame, kind: str = "logistic", label_col: str = "label",
+             id_col: str = "id", **kw) -> dict:
+    """One classification task end to end: fit, predict, accuracy, confusion matrix."""
+    model = train_classifier(train, kind, label_col=label_col, **kw)
+    pred = predict(model, test, id_col, label_col)
+    return {"model": model, "predictions": pred, "accuracy": accuracy(pred, label_col),
+            "confusion": confusion_matrix(pred, label_col)}

@@ -298,3 +298,14 @@ def similar_approx(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
 __all__ = ["top_k", "similar_articles", "nearest", "class_vectors", "analogy", "cosmul", "word_algebra",
            "outlier", "category_distribution", "analogy_accuracy", "knn_graph", "similar_approx",
            "broadcast_if_small"]
+
+
+def encode(words: DataFrame, vectors: DataFrame, word_col: str = "word", vec_col: str = "vec") -> DataFrame:
+    """Vector of each word (inner join on the word; unknown words dropped)."""
+    return words.join(vectors.select(word_col, vec_col), word_col, "inner")
+
+
+def decode(queries: DataFrame, vectors: DataFrame, *, qid: str = "qid", qvec: str = "vec",
+           id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Nearest stored vector of each query vector: (qid, id, similarity)."""
+    return nearest(queries, vectors, 1, qid=qid, qvec=qvec, id_col=id_col, vec_col=vec_col).drop("rank")
