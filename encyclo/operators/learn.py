@@ -57,10 +57,11 @@ def class_lengths(df: DataFrame, tokens_col: str = "tokens", label_col: str = "l
 
 
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """Largest class count / class count.  The window runs over the per-class
-    counts (one row per class), not over the data."""
+    """Largest class count / class count; the largest count is a scalar
+    subquery over the per-class counts (one row per class)."""
     c = class_counts(df, label_col)
-    return c.select(label_col, "n", F.round(F.max("n").over(Window.partitionBy()) / F.col("n"), 6).alias("weight"))
+    top = c.select(F.max("n")).scalar()
+    return c.select(label_col, "n", F.round(top / F.col("n"), 6).alias("weight"))
 
 
 def cap_per_class(df: DataFrame, k: int, label_col: str = "label", order_col: str = "id") -> DataFrame:
