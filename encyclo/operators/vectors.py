@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..plans.joins import broadcast_if_small
 
 ROUND = 6
 _OUT = T.StructType([T.StructField("qid", T.LongType()), T.StructField("cid", T.LongType()),
@@ -296,8 +295,7 @@ def similar_approx(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
 
 
 __all__ = ["top_k", "similar_articles", "nearest", "class_vectors", "analogy", "cosmul", "word_algebra",
-           "outlier", "category_distribution", "analogy_accuracy", "knn_graph", "similar_approx",
-           "broadcast_if_small"]
+           "outlier", "category_distribution", "analogy_accuracy", "knn_graph", "similar_approx", "encode", "decode"]
 
 
 def encode(words: DataFrame, vectors: DataFrame, word_col: str = "word", vec_col: str = "vec") -> DataFrame:

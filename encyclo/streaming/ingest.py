@@ -10,10 +10,8 @@ batch replayed after a failure writes nothing twice.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.pages import build_tables
-from ..sources.dump import read_dump  # noqa: F401  (schema source of the page files)
 from ..sources.sinks import articles_projection
 
 PAGE_COLUMNS = "id bigint, ns int, title string, redirect string, ts timestamp, raw_text string"
