@@ -23,7 +23,7 @@ def _hrefs(spark, sf_dir):
 
 @register("p6_page_links", f"""
     select page_id, pos, href from (
-      select page_id, unnest(h) as href, generate_subscripts(h, 1) - 1 as pos
+      select page_id, unnest(h) as href, cast(generate_subscripts(h, 1) - 1 as integer) as pos
       from (select page_id, regexp_extract_all(html, '{_HREF}', 1) h from pages) x) y""")
 def p6_page_links(spark, sf_dir):
     return _hrefs(spark, sf_dir).select("page_id", F.posexplode("hrefs").alias("pos", "href"))

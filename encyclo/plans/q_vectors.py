@@ -46,7 +46,7 @@ def _topk_sql(score_from: str, k: int, cols: str) -> str:
 
 
 @register("v9_similar_articles", f"""WITH {_E}
-    select id, neighbor_id, "rank", similarity from (
+    select id, neighbor_id, cast("rank" as integer) as "rank", similarity from (
       select id, neighbor_id, similarity,
              row_number() over (partition by id order by similarity desc, neighbor_id) as "rank"
       from (select a.vec_id id, b.vec_id neighbor_id, round({_COS.format(a='a', b='b')}, 6) similarity
@@ -57,7 +57,7 @@ def v9_similar_articles(spark, sf_dir):
 
 
 @register("v4_nearest_docs", f"""WITH {_E}
-    select id, neighbor_id, "rank", similarity from (
+    select id, neighbor_id, cast("rank" as integer) as "rank", similarity from (
       select id, neighbor_id, similarity,
              row_number() over (partition by id order by similarity desc, neighbor_id) as "rank"
       from (select a.vec_id id, b.vec_id neighbor_id, round({_COS.format(a='a', b='b')}, 6) similarity
@@ -79,7 +79,7 @@ def g6_knn_graph(spark, sf_dir):
 
 
 @register("v3_nearest_to_class_means", f"""WITH {_E}, {_MEANS}
-    select label as qid, id, "rank", similarity from (
+    select cast(label as bigint) as qid, id, cast("rank" as integer) as "rank", similarity from (
       select label, id, similarity,
              row_number() over (partition by label order by similarity desc, id) as "rank"
       from (select mn.label, e.vec_id id, round({_COS.format(a='mn', b='e')}, 6) similarity from mn join e on true) s) r
@@ -130,7 +130,7 @@ def v5_cosmul(spark, sf_dir):
           from d join e ea on ea.vec_id = d.a join e eb on eb.vec_id = d.b join e ec on ec.vec_id = d.c),
     tn AS (select *, sqrt(list_dot_product(v, v)) n from t),
     ans AS ({_topk_sql("select tn.qid, e.vec_id cand, round(" + _COS.format(a='tn', b='e') + ", 6) s from tn join e on e.vec_id not in (tn.a, tn.b, tn.c)", 1, 'qid, cand')})
-    select count(*) as n_questions, coalesce(sum(case when ans.cand = d.a + 3 then 1 else 0 end), 0) as n_correct,
+    select count(*) as n_questions, cast(coalesce(sum(case when ans.cand = d.a + 3 then 1 else 0 end), 0) as bigint) as n_correct,
            round(coalesce(sum(case when ans.cand = d.a + 3 then 1 else 0 end), 0) / count(*), 6) as accuracy
     from d left join ans on d.qid = ans.qid""")
 def v13_analogy_accuracy(spark, sf_dir):
