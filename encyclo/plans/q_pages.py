@@ -187,3 +187,64 @@ def p5_p6_extract_wikitext(spark, sf_dir):
     pages = spark.sql(_WIKI_PAGES, lineitem=t.lineitem)
     z = F.arrays_zip(M.extract_links("raw_text").alias("link"), M.extract_categories("raw_text").alias("category"))
     return pages.select("id", F.posexplode(z).alias("pos", "x")).select("id", "pos", "x.link", "x.category")
+
+
+# (braces are doubled: spark.sql formats the text like str.format)
+# Talk pages derived from the rating roles: per part, a first WikiProject
+# template with class and importance, a commented-out one, and a second
+# template whose importance comes from the part key.
+_TALK_PAGES = """
+    select q.id,
+           concat('{{{{WikiProject Parts|class= ', upper(q.quality), ' |importance=', i.importance, '}}}}',
+                  '&lt;!-- {{{{WikiProject Hidden|class=FA|importance=top}}}} --&gt;',
+                  '{{{{WikiProject Keys|importance=',
+                  case q.id % 4 when 0 then 'Low' when 1 then 'mid' when 2 then 'HIGH' else 'top' end, '}}}}') raw
+    from {w_quality} q join {w_importance} i on q.id = i.id"""
+
+
+@register("p10_p11_talk_ratings", with_views("""
+    select id, case when lower(quality) in ('fa','a','ga','bplus','b','c','start','stub','fl','list')
+                    then lower(quality) else 'unknown' end as quality,
+           case cast(floor(avg(r) + 0.5) as integer) when 0 then 'low' when 1 then 'mid' when 2 then 'high'
+                when 3 then 'top' end as importance
+    from (select q.id, q.quality,
+                 unnest([case i.importance when 'low' then 0 when 'mid' then 1 when 'high' then 2 when 'top' then 3 end,
+                         q.id % 4]) r
+          from w_quality q join w_importance i on q.id = i.id) x
+    group by id, quality""", "w_quality", "w_importance"))
+def p10_p11_talk_ratings(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    pages = spark.sql(_TALK_PAGES.replace("{w_quality}", "{q}").replace("{w_importance}", "{i}"),
+                      q=t.w_quality, i=t.w_importance)
+    talk = pages.select("id", M.clean_talk("raw").alias("t"))
+    return talk.select("id", M.extract_quality("t").alias("quality"), M.extract_importance("t").alias("importance"))
+
+
+# Citation pages derived from orders: one page per order, one citation per
+# line item (domains repeat inside an order; authors written 'last, first').
+_CITE_PAGES = """
+    select l_orderkey id,
+           concat_ws(' ', transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey))),
+                     x -> concat('text {{{{cite web |url= http://s', cast(x.l_suppkey % 10 as string),
+                                 '.example.com/p/', cast(x.l_partkey as string),
+                                 ' |author=Smith', cast(x.l_suppkey % 7 as string), ', J. |title=T}}}}'))) raw
+    from {lineitem} group by l_orderkey"""
+
+
+@register("p7_p9_citations", """
+    with c as (select l_orderkey id,
+                      row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) ln,
+                      concat('s', cast(l_suppkey % 10 as varchar), '.example.com') d,
+                      concat('J._Smith', cast(l_suppkey % 7 as varchar)) a from lineitem),
+    dd as (select id, d, min(ln) f from c group by id, d),
+    aa as (select id, a, min(ln) f from c group by id, a)
+    select id, 'domain' as kind, cast(row_number() over (partition by id order by f) - 1 as integer) as pos, d as value from dd
+    union all
+    select id, 'author', cast(row_number() over (partition by id order by f) - 1 as integer), a from aa""")
+def p7_p9_citations(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    pages = spark.sql(_CITE_PAGES, lineitem=t.lineitem)
+    cites = pages.select("id", M.extract_citations("raw").alias("c"))
+    doms = cites.select("id", F.lit("domain").alias("kind"), F.posexplode(M.extract_domains("c")).alias("pos", "value"))
+    auth = cites.select("id", F.lit("author").alias("kind"), F.posexplode(M.extract_authors("c")).alias("pos", "value"))
+    return doms.unionByName(auth)
