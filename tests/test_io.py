@@ -104,3 +104,16 @@ def test_stream_ingest_equals_batch_and_is_idempotent(spark, tmp_path):
     q2 = stream_ingest(spark, str(src) + "/*", titles, out, str(tmp_path / "ck2"))
     q2.awaitTermination(120)
     assert spark.read.parquet(out).count() == got.count()
+
+
+def test_read_compressed_dump(spark, tmp_path):
+    import bz2
+    src = os.path.join(FIXTURES, "mini_dump.xml")
+    dst = tmp_path / "dump.xml.bz2"
+    with open(src, "rb") as f, bz2.open(dst, "wb") as g:
+        g.write(f.read())
+    plain = read_dump(spark, src)
+    packed = read_dump(spark, str(dst))
+    cols = ["id", "ns", "title", "redirect", "raw_text"]
+    assert sorted(tuple(r) for r in packed.select(*cols).collect()) == \
+        sorted(tuple(r) for r in plain.select(*cols).collect())
