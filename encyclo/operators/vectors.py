@@ -115,10 +115,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, mode: str = "cos
     bq = max(1, math.ceil(nq / block_rows))
     bc = max(1, math.ceil(nc / block_rows))
     qcols = [c for c in ("qid", "vec", "terms", "signs", "exclude") if c in queries.columns]
-    q = (queries.select(*qcols)
+    # fresh attribute ids on both sides: they often derive from the same table
+    q = (queries.select(*[F.col(x).alias(x) for x in qcols])
          .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(bq)).cast("int"))
          .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)).cast("array<int>"))))
-    c = (candidates.select("cid", "vec")
+    c = (candidates.select(F.col("cid").alias("cid"), F.col("vec").alias("vec"))
          .withColumn("_cb", F.pmod(F.xxhash64("cid"), F.lit(bc)).cast("int"))
          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<int>"))))
     # both sides must group on identically typed keys, or the cogroup pairs
@@ -134,11 +135,21 @@ def _vecs(vectors: DataFrame, id_col: str, vec_col: str, as_: str = "cid") -> Da
 
 
 def similar_articles(vectors: DataFrame, k: int = 10, id_col: str = "vec_id",
-                     vec_col: str = "embedding", block_rows: int = 2048) -> DataFrame:
+                     vec_col: str = "embedding", block_rows: int = 2048,
+                     query_ids: DataFrame | None = None, candidate_ids: DataFrame | None = None) -> DataFrame:
     """All-pairs: the k most similar other articles of every article:
-    (id, neighbor_id, rank, similarity)."""
+    (id, neighbor_id, rank, similarity).
+
+    ``query_ids`` (column ``id``) restricts the articles that get neighbours,
+    e.g. those with at least five words; ``candidate_ids`` restricts the
+    neighbours, e.g. to titled articles.  Both are semi-joins before blocking.
+    """
     cand = _vecs(vectors, id_col, vec_col)
     q = cand.select(F.col("cid").alias("qid"), "vec", F.array(F.col("cid")).alias("exclude"))
+    if query_ids is not None:
+        q = q.join(query_ids.select(F.col("id").cast("long").alias("qid")), "qid", "left_semi")
+    if candidate_ids is not None:
+        cand = cand.join(candidate_ids.select(F.col("id").cast("long").alias("cid")), "cid", "left_semi")
     r = top_k(q, cand, k, block_rows=block_rows)
     return r.select(F.col("qid").alias("id"), F.col("cid").alias("neighbor_id"), "rank",
                     F.col("score").alias("similarity"))

@@ -115,3 +115,14 @@ def test_word_ids_dense_and_ordered(spark):
     words = [r.word for r in w]
     assert words == sorted(words, key=lambda s: s.encode("utf-8"))
     assert tok.select(F.explode("tokens")).distinct().count() == len(w)
+
+
+def test_similar_articles_filters(spark):
+    emb = Tables(spark, SF001).embeddings
+    q = spark.range(0, 50).select(F.col("id"))
+    c = spark.range(0, 500, 2).select(F.col("id"))
+    got = VO.similar_articles(emb, 3, query_ids=q, candidate_ids=c).collect()
+    assert {r.id for r in got} == set(range(50))
+    assert all(r.neighbor_id % 2 == 0 and r.neighbor_id != r.id for r in got)
+    full = {(r.id, r.rank): r.neighbor_id for r in VO.similar_articles(emb, 3, query_ids=q).collect()}
+    assert set(full) == {(i, k) for i in range(50) for k in (1, 2, 3)}
