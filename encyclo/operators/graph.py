@@ -11,7 +11,7 @@ so a lost executor recomputes at most one round.
 
 ``beam``/``heuristic_weight`` turn the search into a weighted A*-like beam
 search (f = g + w * (1 - cos(node, goal)), best ``beam`` nodes per query per
-round) -- faster, not exact; the exact search is its reference.
+round) -- faster, not exact; the exact search is its yardstick.
 """
 
 from __future__ import annotations
