@@ -165,7 +165,16 @@ def v12_cosine(spark, sf_dir):
                                           F.round(V.cosine("embedding", "e2"), 6).alias("cosine"))
 
 
-@register("v7_word_algebra")
+@register("v7_word_algebra", f"""WITH {_E}, {_Q},
+    mixed AS ({_topk_sql(
+        "select q.qid, e.vec_id cand, round(((1.0 + " + _COS.format(a='ea', b='e') + ") / 2.0) * ((1.0 + "
+        + _COS.format(a='eb', b='e') + ") / 2.0) / ((1.0 + " + _COS.format(a='ec', b='e') + ") / 2.0 + 0.001), 6) s "
+        "from q join e ea on ea.vec_id = q.a join e eb on eb.vec_id = q.b join e ec on ec.vec_id = q.c "
+        "join e on e.vec_id not in (q.a, q.b, q.c)", 1, 'qid, cand as answer, s as score')}),
+    neg AS ({_topk_sql(
+        "select a.vec_id + 1099511627776 as qid, e.vec_id cand, round(-(" + _COS.format(a='a', b='e') + "), 6) s "
+        "from e a join e on e.vec_id <> a.vec_id", 1, 'qid, cand as answer, s as score')})
+    select * from mixed union all select * from neg""")
 def v7_word_algebra(spark, sf_dir):
     """a + b - c per derived question (3CosMul), and '- a' (additive) for every vector."""
     emb = _emb(spark, sf_dir)
