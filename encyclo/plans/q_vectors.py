@@ -226,3 +226,64 @@ def j14_neighbors_as_text(spark, sf_dir):
     nb = VO.similar_articles(emb, k=10)
     titles = Tables(spark, sf_dir).w_titles
     return titles_for_lists(nb, titles, key="id", member="neighbor_id", pos="rank", out="neighbors")
+
+
+
+# Bellman-Ford as 40 levels of min-cost relaxation (more than the hop count of
+# any shortest path on the 5-NN graph at the checked scale factor).
+_BF = """d0 AS (select q.qid, q.a node, 0.0::double cost from q0 q),
+    d1 AS (select qid, node, min(cost) cost from (select * from d0 union all select d.qid, g.dst, d.cost + g.cost from d0 d join g on d.node = g.src) x group by qid, node),
+    d2 AS (select qid, node, min(cost) cost from (select * from d1 union all select d.qid, g.dst, d.cost + g.cost from d1 d join g on d.node = g.src) x group by qid, node),
+    d3 AS (select qid, node, min(cost) cost from (select * from d2 union all select d.qid, g.dst, d.cost + g.cost from d2 d join g on d.node = g.src) x group by qid, node),
+    d4 AS (select qid, node, min(cost) cost from (select * from d3 union all select d.qid, g.dst, d.cost + g.cost from d3 d join g on d.node = g.src) x group by qid, node),
+    d5 AS (select qid, node, min(cost) cost from (select * from d4 union all select d.qid, g.dst, d.cost + g.cost from d4 d join g on d.node = g.src) x group by qid, node),
+    d6 AS (select qid, node, min(cost) cost from (select * from d5 union all select d.qid, g.dst, d.cost + g.cost from d5 d join g on d.node = g.src) x group by qid, node),
+    d7 AS (select qid, node, min(cost) cost from (select * from d6 union all select d.qid, g.dst, d.cost + g.cost from d6 d join g on d.node = g.src) x group by qid, node),
+    d8 AS (select qid, node, min(cost) cost from (select * from d7 union all select d.qid, g.dst, d.cost + g.cost from d7 d join g on d.node = g.src) x group by qid, node),
+    d9 AS (select qid, node, min(cost) cost from (select * from d8 union all select d.qid, g.dst, d.cost + g.cost from d8 d join g on d.node = g.src) x group by qid, node),
+    d10 AS (select qid, node, min(cost) cost from (select * from d9 union all select d.qid, g.dst, d.cost + g.cost from d9 d join g on d.node = g.src) x group by qid, node),
+    d11 AS (select qid, node, min(cost) cost from (select * from d10 union all select d.qid, g.dst, d.cost + g.cost from d10 d join g on d.node = g.src) x group by qid, node),
+    d12 AS (select qid, node, min(cost) cost from (select * from d11 union all select d.qid, g.dst, d.cost + g.cost from d11 d join g on d.node = g.src) x group by qid, node),
+    d13 AS (select qid, node, min(cost) cost from (select * from d12 union all select d.qid, g.dst, d.cost + g.cost from d12 d join g on d.node = g.src) x group by qid, node),
+    d14 AS (select qid, node, min(cost) cost from (select * from d13 union all select d.qid, g.dst, d.cost + g.cost from d13 d join g on d.node = g.src) x group by qid, node),
+    d15 AS (select qid, node, min(cost) cost from (select * from d14 union all select d.qid, g.dst, d.cost + g.cost from d14 d join g on d.node = g.src) x group by qid, node),
+    d16 AS (select qid, node, min(cost) cost from (select * from d15 union all select d.qid, g.dst, d.cost + g.cost from d15 d join g on d.node = g.src) x group by qid, node),
+    d17 AS (select qid, node, min(cost) cost from (select * from d16 union all select d.qid, g.dst, d.cost + g.cost from d16 d join g on d.node = g.src) x group by qid, node),
+    d18 AS (select qid, node, min(cost) cost from (select * from d17 union all select d.qid, g.dst, d.cost + g.cost from d17 d join g on d.node = g.src) x group by qid, node),
+    d19 AS (select qid, node, min(cost) cost from (select * from d18 union all select d.qid, g.dst, d.cost + g.cost from d18 d join g on d.node = g.src) x group by qid, node),
+    d20 AS (select qid, node, min(cost) cost from (select * from d19 union all select d.qid, g.dst, d.cost + g.cost from d19 d join g on d.node = g.src) x group by qid, node),
+    d21 AS (select qid, node, min(cost) cost from (select * from d20 union all select d.qid, g.dst, d.cost + g.cost from d20 d join g on d.node = g.src) x group by qid, node),
+    d22 AS (select qid, node, min(cost) cost from (select * from d21 union all select d.qid, g.dst, d.cost + g.cost from d21 d join g on d.node = g.src) x group by qid, node),
+    d23 AS (select qid, node, min(cost) cost from (select * from d22 union all select d.qid, g.dst, d.cost + g.cost from d22 d join g on d.node = g.src) x group by qid, node),
+    d24 AS (select qid, node, min(cost) cost from (select * from d23 union all select d.qid, g.dst, d.cost + g.cost from d23 d join g on d.node = g.src) x group by qid, node),
+    d25 AS (select qid, node, min(cost) cost from (select * from d24 union all select d.qid, g.dst, d.cost + g.cost from d24 d join g on d.node = g.src) x group by qid, node),
+    d26 AS (select qid, node, min(cost) cost from (select * from d25 union all select d.qid, g.dst, d.cost + g.cost from d25 d join g on d.node = g.src) x group by qid, node),
+    d27 AS (select qid, node, min(cost) cost from (select * from d26 union all select d.qid, g.dst, d.cost + g.cost from d26 d join g on d.node = g.src) x group by qid, node),
+    d28 AS (select qid, node, min(cost) cost from (select * from d27 union all select d.qid, g.dst, d.cost + g.cost from d27 d join g on d.node = g.src) x group by qid, node),
+    d29 AS (select qid, node, min(cost) cost from (select * from d28 union all select d.qid, g.dst, d.cost + g.cost from d28 d join g on d.node = g.src) x group by qid, node),
+    d30 AS (select qid, node, min(cost) cost from (select * from d29 union all select d.qid, g.dst, d.cost + g.cost from d29 d join g on d.node = g.src) x group by qid, node),
+    d31 AS (select qid, node, min(cost) cost from (select * from d30 union all select d.qid, g.dst, d.cost + g.cost from d30 d join g on d.node = g.src) x group by qid, node),
+    d32 AS (select qid, node, min(cost) cost from (select * from d31 union all select d.qid, g.dst, d.cost + g.cost from d31 d join g on d.node = g.src) x group by qid, node),
+    d33 AS (select qid, node, min(cost) cost from (select * from d32 union all select d.qid, g.dst, d.cost + g.cost from d32 d join g on d.node = g.src) x group by qid, node),
+    d34 AS (select qid, node, min(cost) cost from (select * from d33 union all select d.qid, g.dst, d.cost + g.cost from d33 d join g on d.node = g.src) x group by qid, node),
+    d35 AS (select qid, node, min(cost) cost from (select * from d34 union all select d.qid, g.dst, d.cost + g.cost from d34 d join g on d.node = g.src) x group by qid, node),
+    d36 AS (select qid, node, min(cost) cost from (select * from d35 union all select d.qid, g.dst, d.cost + g.cost from d35 d join g on d.node = g.src) x group by qid, node),
+    d37 AS (select qid, node, min(cost) cost from (select * from d36 union all select d.qid, g.dst, d.cost + g.cost from d36 d join g on d.node = g.src) x group by qid, node),
+    d38 AS (select qid, node, min(cost) cost from (select * from d37 union all select d.qid, g.dst, d.cost + g.cost from d37 d join g on d.node = g.src) x group by qid, node),
+    d39 AS (select qid, node, min(cost) cost from (select * from d38 union all select d.qid, g.dst, d.cost + g.cost from d38 d join g on d.node = g.src) x group by qid, node),
+    d40 AS (select qid, node, min(cost) cost from (select * from d39 union all select d.qid, g.dst, d.cost + g.cost from d39 d join g on d.node = g.src) x group by qid, node)"""
+
+
+@register("g3_path_costs", f"""WITH {_E},
+    g AS (select id as src, neighbor_id as dst, round(1.0 - similarity, 6) as cost from (
+      select id, neighbor_id, similarity,
+             row_number() over (partition by id order by similarity desc, neighbor_id) as rk
+      from (select a.vec_id id, b.vec_id neighbor_id, round({_COS.format(a='a', b='b')}, 6) similarity
+            from e a join e b on a.vec_id <> b.vec_id) s) r where rk <= 5),
+    q0 AS (select a.vec_id qid, a.vec_id a, b.vec_id b from e a join e b on b.vec_id = a.vec_id + 1),
+    {_BF}
+    select q0.qid, q0.a as source, q0.b as target, round(d.cost, 6) as cost
+    from q0 join d40 d on d.qid = q0.qid and d.node = q0.b""")
+def g3_path_costs(spark, sf_dir):
+    """Costs of the exact shortest paths of ``g3_shortest_paths`` (checked by Bellman-Ford in SQL)."""
+    return g3_shortest_paths(spark, sf_dir).select("qid", "source", "target", F.round("cost", 6).alias("cost"))
