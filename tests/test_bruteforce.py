@@ -126,3 +126,23 @@ def test_similar_articles_filters(spark):
     assert all(r.neighbor_id % 2 == 0 and r.neighbor_id != r.id for r in got)
     full = {(r.id, r.rank): r.neighbor_id for r in VO.similar_articles(emb, 3, query_ids=q).collect()}
     assert set(full) == {(i, k) for i in range(50) for k in (1, 2, 3)}
+
+
+def test_similar_approx_reports_only_true_pairs(spark):
+    emb = Tables(spark, SF001).embeddings
+    rows = emb.collect()
+    M = np.array([np.asarray(r.embedding, dtype=np.float64) for r in rows])
+    ids = [r.vec_id for r in rows]
+    n = np.linalg.norm(M, axis=1)
+    S = M @ M.T / np.outer(n, n)
+    thr = float(np.sort(S[np.triu_indices(len(ids), 1)])[-200])      # about 200 true pairs
+    true = {(ids[i], ids[j]) for i in range(len(ids)) for j in range(i + 1, len(ids))
+            if S[i, j] >= thr - 1e-9}
+    pos = {v: i for i, v in enumerate(ids)}
+    got = VO.similar_approx(emb, thr, bucket_length=1.0, num_tables=8).collect()
+    assert got
+    for r in got:
+        a, b = sorted((r.id, r.neighbor_id))
+        assert abs(r.similarity - round(S[pos[a], pos[b]], 6)) < 1e-5
+        assert (a, b) in true
+    assert len({tuple(sorted((r.id, r.neighbor_id))) for r in got}) >= 0.5 * len(true)
