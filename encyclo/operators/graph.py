@@ -26,9 +26,34 @@ from ..session import ensure_checkpoint_dir, reliable_checkpoint
 def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int = 100,
                    vectors: DataFrame | None = None, heuristic_weight: float = 0.0,
                    beam: int | None = None, id_col: str = "vec_id",
-                   vec_col: str = "embedding") -> DataFrame:
+                   vec_col: str = "embedding", pairs_per_batch: int | None = None) -> DataFrame:
     """``edges(src, dst, cost)``, ``pairs(qid, source, target)`` ->
-    ``(qid, source, target, cost, hops, path)``; unreachable pairs are absent."""
+    ``(qid, source, target, cost, hops, path)``; unreachable pairs are absent.
+
+    The state holds up to (queries x reachable nodes) rows.  With
+    ``pairs_per_batch`` the pairs are hashed into batches of about that many
+    queries; each batch runs the relaxation on its own (bounded state) and its
+    result is checkpointed before the next batch starts.
+    """
+    kw = dict(max_rounds=max_rounds, vectors=vectors, heuristic_weight=heuristic_weight, beam=beam,
+              id_col=id_col, vec_col=vec_col)
+    if pairs_per_batch:
+        n = pairs.count()
+        batches = max(1, -(-n // pairs_per_batch))
+        if batches > 1:
+            keyed = reliable_checkpoint(pairs.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(batches))))
+            parts = [reliable_checkpoint(_relax(edges, keyed.where(F.col("_b") == b).drop("_b"), **kw))
+                     for b in range(batches)]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return out
+    return _relax(edges, pairs, **kw)
+
+
+def _relax(edges: DataFrame, pairs: DataFrame, *, max_rounds: int, vectors: DataFrame | None,
+           heuristic_weight: float, beam: int | None, id_col: str, vec_col: str) -> DataFrame:
+    """One batch of pairs: the frontier relaxation itself."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select(F.col("src").alias("node"), "dst", F.col("cost").alias("w"))

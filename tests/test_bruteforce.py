@@ -146,3 +146,14 @@ def test_similar_approx_reports_only_true_pairs(spark):
         assert abs(r.similarity - round(S[pos[a], pos[b]], 6)) < 1e-5
         assert (a, b) in true
     assert len({tuple(sorted((r.id, r.neighbor_id))) for r in got}) >= 0.5 * len(true)
+
+
+def test_shortest_paths_batched_equals_single(spark):
+    emb = Tables(spark, SF001).embeddings
+    edges = VO.knn_graph(emb, k=4).checkpoint()
+    ids = sorted(r.vec_id for r in emb.select("vec_id").collect())
+    pairs = spark.createDataFrame([(i, ids[i], ids[(i * 11 + 5) % len(ids)]) for i in range(30)],
+                                  "qid long, source long, target long")
+    one = {r.qid: round(r.cost, 9) for r in shortest_paths(edges, pairs).collect()}
+    many = {r.qid: round(r.cost, 9) for r in shortest_paths(edges, pairs, pairs_per_batch=8).collect()}
+    assert one == many
