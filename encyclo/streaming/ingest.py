@@ -25,8 +25,8 @@ def _existing_ids(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def ingest_batch(batch: DataFrame, titles: DataFrame, articles_path: str,
-                 cutoff: str | None = None, redirects: DataFrame | None = None) -> int:
-    """Insert the articles of one batch of pages; returns the table's row count."""
+                 cutoff: str | None = None, redirects: DataFrame | None = None) -> None:
+    """Insert the articles of one batch of pages (ids already present are skipped)."""
     spark = batch.sparkSession
     t = build_tables(batch, cutoff=cutoff, titles=titles, redirects=redirects)
     rows = articles_projection(titles.join(batch.select("id"), "id", "left_semi"), batch,
@@ -36,7 +36,6 @@ def ingest_batch(batch: DataFrame, titles: DataFrame, articles_path: str,
     if existing is not None:
         rows = rows.join(existing, "id", "left_anti")
     rows.dropDuplicates(["id"]).write.mode("append").parquet(articles_path)
-    return spark.read.parquet(articles_path).count()
 
 
 def stream_ingest(spark: SparkSession, pages_dir: str, titles: DataFrame, articles_path: str,
