@@ -81,3 +81,21 @@ def test_models_run(spark):
     dec = VO.decode(emb.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")).limit(5),
                     Tables(spark, SF001).embeddings)
     assert all(r.qid == r.id and abs(r.similarity - 1.0) < 1e-6 for r in dec.collect())
+
+
+def test_model_save_load_and_vocab_export(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from encyclo.operators import corpus as K
+    from encyclo.sources import sinks as S
+    emb = L.features(Tables(spark, SF001).embeddings).withColumn("label", F.col("label").cast("double"))
+    model = Pipeline(stages=[LogisticRegression(maxIter=5)]).fit(emb)
+    path = str(tmp_path / "model_2021-05-01_09-00-00")
+    S.save_model(model, path)
+    again = L.load_model(S.latest_version([str(tmp_path / "model_2020-01-01_00-00-00"), path]))
+    a = [r.prediction for r in model.transform(emb).orderBy("vec_id").collect()]
+    b = [r.prediction for r in again.transform(emb).orderBy("vec_id").collect()]
+    assert a == b
+    w2v = L.train_embeddings(K.tokens(Tables(spark, SF001).w_text), vector_size=8, min_count=3)
+    S.write_vocab(w2v, str(tmp_path / "vocab"))
+    assert spark.read.text(str(tmp_path / "vocab")).count() == w2v.getVectors().count()
