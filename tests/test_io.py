@@ -117,3 +117,15 @@ def test_read_compressed_dump(spark, tmp_path):
     cols = ["id", "ns", "title", "redirect", "raw_text"]
     assert sorted(tuple(r) for r in packed.select(*cols).collect()) == \
         sorted(tuple(r) for r in plain.select(*cols).collect())
+
+
+def test_staged_pages_prune_and_match(spark, tmp_path):
+    from encyclo.sources.dump import read_pages, write_pages
+    pages = read_dump(spark, os.path.join(FIXTURES, "mini_dump.xml"))
+    write_pages(pages, str(tmp_path / "pages"))
+    staged = read_pages(spark, str(tmp_path / "pages"))
+    a, b = build_tables(pages), build_tables(staged)
+    for name in ("titles", "links", "categories", "quality", "importance", "text"):
+        assert sorted(map(tuple, a[name].collect())) == sorted(map(tuple, b[name].collect())), name
+    plan = b["links"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "ns" in plan
