@@ -1,9 +1,11 @@
 """Pages -> keyed tables (titles, redirects, text, categories, links, domains,
 authors, quality, importance, category parents).
 
-One scan of ``pages`` feeds every branch; each branch is a filter on the page
-kind plus native column expressions, and a join against the title resolver.
-Persist ``pages`` (or store it as Parquet) once when several tables are built.
+Every branch is a filter on the page kind plus native column expressions,
+and a join against the title resolver.  Store the parsed dump once with
+``sources.dump.write_pages`` (Parquet partitioned by namespace): each branch
+then reads only its namespace partition and its columns, and the cut-off
+becomes a pushed-down timestamp range.
 """
 
 from __future__ import annotations
