@@ -274,3 +274,15 @@ def s20_category_report(spark, sf_dir):
     from ..sources.sinks import category_report
     t = Tables(spark, sf_dir)
     return category_report(C.largest_categories(t.w_categories, t.w_titles, N_LARGEST))
+
+
+@register("e1_search_first", """
+    select * from customer
+    where lower(cast(c_custkey as varchar)) = 'machinery' or lower(c_name) = 'machinery'
+       or lower(cast(c_nationkey as varchar)) = 'machinery' or lower(c_mktsegment) = 'machinery'
+    order by c_custkey limit 1""")
+def e1_search_first(spark, sf_dir):
+    """The first matching row (smallest key), as the table search returns it."""
+    t = Tables(spark, sf_dir)
+    return search_rows(t.customer, "Machinery", columns=["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+                       first_only=True, order_by="c_custkey")
