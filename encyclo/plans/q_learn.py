@@ -293,3 +293,27 @@ def m14_topics(spark, sf_dir):
     tok = K.tokens(Tables(spark, sf_dir).w_text)
     lda, vocab = L.topics(tok, k=5, vocab_size=2000, max_iter=5)
     return lda.describeTopics(10)
+
+
+@register("m12_score_words")
+def m12_score_words(spark, sf_dir):
+    """Quality model on document vectors applied to the word vectors of the
+    words in the frequency band without markup remnants; p > 0.6 kept."""
+    from ..functions.text import has_junk_token
+    t = Tables(spark, sf_dir)
+    tok = K.tokens(t.w_text)
+    w2v = L.train_embeddings(tok, vector_size=32, window=5, min_count=3, max_iter=1)
+    dv = L.doc_vectors(w2v, tok)
+    lab = dv.join(t.labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("label")), "id")
+    model = L.train_classifier(L.features(lab, "vec"), "logistic", max_iter=20)
+    band = L.vocab_band(K.build_dictionary(tok), 10, 300).where(~has_junk_token(F.col("word")))
+    words = (w2v.getVectors().join(band.select("word"), "word", "left_semi")
+             .select("word", L.vector_to_array("vector").alias("vec")))
+    return L.score_words(model, L.features(words, "vec"), min_prob=0.6, id_col="word")
+
+
+@register("m9_training_log")
+def m9_training_log(spark, sf_dir):
+    """Loss per iteration of the logistic model on the training split of the vectors."""
+    train, _ = _split_features(spark, sf_dir)
+    return L.training_log(L.train_classifier(train, "logistic", max_iter=30))
