@@ -114,3 +114,23 @@ def test_nested_removal_python_and_spark(spark):
     assert M.remove_nested_py(deep, "{{", "}}") == ""
     got = spark.createDataFrame([(s,)], ["t"]).select(M.remove_nested("t", "{{", "}}").alias("r")).first().r
     assert got == "a  b "
+
+
+def test_more_string_functions(spark):
+    df = spark.createDataFrame([("One, two (x). Three&nbsp;  four.",)], ["s"])
+    r = df.select(
+        X.sentence_tokens("s").alias("sent"),
+        X.drop_stopwords(F.array(F.lit("the"), F.lit("cat"), F.lit("a")), ["the", "a"]).alias("stop"),
+        X.has_junk_token(F.lit("foo_bar")).alias("j1"), X.has_junk_token(F.lit("ndash")).alias("j2"),
+        X.has_junk_token(F.lit("plain")).alias("j3"),
+        X.sanitize(F.lit("a\tb\nc")).alias("san"),
+        X.squeeze(F.lit("a    b  c")).alias("sq"),
+        X.remove_between(F.lit("x<b>short</b>y<b>" + "z" * 80 + "</b>"), "<b>", "</b>", max_gap=20).alias("gap"),
+        X.whitespace_tokens(F.lit(" a  b\tc ")).alias("ws"),
+    ).first()
+    assert [list(x) for x in r.sent] == [["one", "two", "x"], ["three", "four."]]
+    assert list(r.stop) == ["cat"]
+    assert (r.j1, r.j2, r.j3) == (True, True, False)
+    assert r.san == "a b c" and r.sq == "a b c"
+    assert r.gap == "xy<b>" + "z" * 80 + "</b>"
+    assert list(r.ws) == ["a", "b", "c"]
