@@ -9,4 +9,10 @@ DataFrame in, DataFrame out.  Sub-packages:
 * ``streaming`` -- incremental page ingest
 """
 
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions that run in Python workers are shipped whole, so executors need no
+# copy of the package on their path.
+_cloudpickle.register_pickle_by_value(__import__(__name__))
+
 __version__ = "0.1.0"
