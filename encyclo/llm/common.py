@@ -86,6 +86,8 @@ class Words:
         starts = np.flatnonzero(first)
         before = np.cumsum(inside)
         self.data = mapped[inside]
+        if byte_map[0]:
+            self.data[self.data == byte_map[0]] = 0
         self.off = np.append(before[starts] - 1, len(self.data)).astype(np.int64)
         self.doc = np.searchsorted(starts, doff)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -43,3 +43,10 @@ it as (select rid, count(distinct item_id) n_items,
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
        sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join pos using (rid) left join it using (rid)"""
+
+
+@query
+def op7_simhash(spark, sf_dir):
+    """Classes of all documents at four or fewer differing bits."""
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
