@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
+SLICE_BYTES = 8 << 20
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
@@ -42,9 +44,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.S
     types = arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             made = fn(b)
             cols = [b.column(b.schema.get_field_index(c)) for c in keep]
             cols += [made[n] if isinstance(made[n], (pa.Array, pa.ChunkedArray))
@@ -54,6 +54,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.S
     return df.mapInArrow(run, out)
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, one row at least, so that
+    what a function makes of a batch stays a bounded multiple of that."""
+    for b in batches:
+        step = max(1, b.num_rows * size // max(b.nbytes, 1))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def arrow_types(schema: T.StructType) -> dict[str, pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
     return {f.name: to_arrow_type(f.dataType) for f in schema}
