@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import decontaminate, simhash
-from .common import table
+from . import bpe, decontaminate, simhash
+from .common import map_batches, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +54,30 @@ def op7_simhash(spark, sf_dir):
     """Classes of all documents at four or fewer differing bits."""
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def tokenizer_ranks(path: str | None = None) -> dict[bytes, int]:
+    """Ranks of the vocabulary file (default: the public byte-level one of 50k pieces)."""
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.load_ranks(path)
+
+
+@query
+def op9_bpe(spark, sf_dir):
+    """Ids of all documents, and their bytes decoded from the ids again."""
+    ranks = tokenizer_ranks()
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks)
+    back = bpe.decode(coded, ranks)
+
+    def digest(batch):
+        ids = batch.column(batch.schema.get_field_index("ids"))
+        values, off = ids.values.to_numpy(), ids.offsets.to_numpy()
+        return {"n_tokens": np.diff(off).astype(np.int64),
+                "ids_sha256": [hashlib.sha256(values[a:b].astype("<u4").tobytes()).hexdigest()
+                               for a, b in zip(off[:-1].tolist(), off[1:].tolist())]}
+
+    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
+    return (map_batches(back, digest, made, keep=["doc_id", "decoded"])
+            .select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")))
