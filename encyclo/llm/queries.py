@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, langid, simhash
 from .common import map_batches, table
 
 QUERIES: dict = {}
@@ -81,3 +81,13 @@ def op9_bpe(spark, sf_dir):
     made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
     return (map_batches(back, digest, made, keep=["doc_id", "decoded"])
             .select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")))
+
+
+@query
+def op4_langid(spark, sf_dir):
+    """Language of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = langid.train(docs.where(third != 1))
+    found = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
