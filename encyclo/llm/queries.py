@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, langid, simhash
+from . import bpe, decontaminate, langid, passages, simhash
 from .common import map_batches, table
 
 QUERIES: dict = {}
@@ -91,3 +91,18 @@ def op4_langid(spark, sf_dir):
     model = langid.train(docs.where(third != 1))
     found = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_passages(spark, sf_dir):
+    """Passages of all documents that an earlier document has."""
+    docs = table(spark, sf_dir, "documents")
+    found = passages.spans_by_document(passages.duplicate_spans(docs))
+    rows = docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("_h"),
+                       F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long").alias("n_words"))
+    spans = F.coalesce("spans", F.array().cast("array<int>"))
+    n_dup = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x).cast("long")),
+                        F.lit(0).cast("long"), lambda a, x: a + x)
+    return (rows.join(found, (rows["doc_id"] == found["id"]) & (rows["_h"] == found["h"]), "left")
+            .select("doc_id", "n_words", n_dup.alias("n_duplicate"), (F.size(spans) / 2).cast("long").alias("n_spans"),
+                    spans.alias("spans"), F.coalesce("originals", F.array().cast("array<long>")).alias("originals")))
