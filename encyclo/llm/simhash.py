@@ -220,15 +220,35 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS
     return tiled.mapInArrow(compare, "a long, b long")
 
 
+def _of_fingerprints(marked: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component) of all fingerprints; component is a fingerprint itself."""
+    distinct = stage(marked.select("fp").distinct(), "distinct-fp")
+    part = components(links(distinct, max_bits))
+    return distinct.join(part, distinct["fp"] == part["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``(id, fp, component_id)`` of each document; component_id is the smallest id reachable."""
     marked = stage(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")),
                                 "_t", shingle, keep=["doc_id"]), "fingerprints")
-    lowest = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fp")
-    part = components(links(lowest, max_bits))
-    of_fp = (lowest.join(part, lowest["fp"] == part["node"], "left")
-             .select("fp", "low", F.coalesce("component", "fp").alias("component")))
-    ids = of_fp.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_fp = of_fp.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(of_fp, marked["fp"] == of_fp["_fp"]).select("doc_id", "fp", "component_id")
+    part = _of_fingerprints(marked, max_bits)
+    low = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    ids = part.join(low, "fp").groupBy("component").agg(F.min("low").alias("component_id"))
+    part = part.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id")
+    return marked.join(part, marked["fp"] == part["_fp"]).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest id (ids that are null
+    come last; of one id, that of the smallest text hash)."""
+    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
+    marked = stage(fingerprints(keyed, "_t", shingle, keep=["_id", "_h"]), "fingerprints")
+    part = _of_fingerprints(marked, max_bits)
+    rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_h").alias("h"))
+    first = (marked.groupBy("fp").agg(F.min(rank).alias("first")).join(part, "fp")
+             .groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.h"))
+    kept = docs.withColumn("_key", F.xxhash64(text_col)).join(
+        first, docs[id_col].eqNullSafe(first["id"]) & (F.col("_key") == first["h"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_key"]).drop("_key")  # rows repeated whole
