@@ -34,6 +34,8 @@ from .common import map_batches, ragged, slices, text_buffer
 
 FOLD_BYTES = 64
 BLOCK_BYTES = 48 << 20
+SLICE_BYTES = 2 << 20
+ANSWER_ROWS = 1 << 18
 NONE = 1 << 40  # the rank of a pair that does not merge
 RANK_BITS = 20
 
@@ -96,17 +98,15 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
 
 
 def _fold(word: Column, table: Column, single: Column, size: int, n_slots: int) -> Column:
-    state_type = "struct<p:array<bigint>,r:array<bigint>>"
     none = F.array().cast("array<bigint>")
     n = F.octet_length(word)
 
     def rank(a: Column, b: Column) -> Column:
-        one, two = _slots(a, b, size, n_slots)
-
-        def read(slot: Column, otherwise) -> Column:
-            return _let(F.get(table, slot.cast("int")), lambda v: F.when(
-                F.shiftright(v, RANK_BITS) == a * size + b, v.bitwiseAND((1 << RANK_BITS) - 1)).otherwise(otherwise))
-        return read(one, read(two, F.lit(NONE)))
+        key = a * size + b
+        one, two = (F.get(table, slot.cast("int")) for slot in _slots(a, b, size, n_slots))
+        mask = (1 << RANK_BITS) - 1
+        return (F.when(F.shiftright(one, RANK_BITS) == key, one.bitwiseAND(mask))
+                .when(F.shiftright(two, RANK_BITS) == key, two.bitwiseAND(mask)).otherwise(F.lit(NONE)))
 
     start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(
         single, F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("int")))
@@ -125,12 +125,12 @@ def _fold(word: Column, table: Column, single: Column, size: int, n_slots: int)
             right = F.when(pos + 2 <= count, F.array(rank(low, F.element_at(p, pos + 2)))).otherwise(none)
             parts = F.concat(F.slice(p, 1, pos - 1), F.array(low), F.slice(p, pos + 2, count))
             next_ranks = F.concat(F.slice(r, 1, F.greatest(pos - 2, F.lit(0))), left, right, F.slice(r, pos + 2, count))
-            return F.struct(parts.alias("p"), next_ranks.alias("r")).cast(state_type)
+            return F.struct(parts.alias("p"), next_ranks.alias("r"))
 
         return _let(F.array_min(r), lambda low: F.when(low.isNull() | (low >= NONE), state).otherwise(
             _let(F.array_position(r, low).cast("int"), lambda pos: at(low, pos))))
 
-    first = _let(start, lambda p: F.struct(p.alias("p"), ranks_of(p).alias("r")).cast(state_type))
+    first = _let(start, lambda p: F.struct(p.alias("p"), ranks_of(p).alias("r")))
     return F.aggregate(F.sequence(F.lit(1), n), first, merge, lambda s: s["p"])
 
 
@@ -199,12 +199,21 @@ def match_starts(raw: np.ndarray, doc_off: np.ndarray, classes: np.ndarray) -> n
     if not len(raw):
         return np.zeros(0, dtype=np.int64)
     cp = np.frombuffer(raw.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
-    width[(cp >= 0xDC80) & (cp <= 0xDCFF)] = 1  # bytes that are not UTF-8
-    byte_at = np.cumsum(width) - width
     n = len(cp)
+    wide = np.flatnonzero(cp >= 0x80)
+    more = cp[wide]
+    more = 1 + (more >= 0x800).astype(np.int64) + (more >= 0x10000) - ((more >= 0xDC80) & (more <= 0xDCFF)) * 2  # a lone byte is one
+    extra = np.concatenate([[0], np.cumsum(more)])
+
+    def byte_at(chars: np.ndarray) -> np.ndarray:
+        return chars + extra[np.searchsorted(wide, chars)]
+
+    def char_at(offsets: np.ndarray) -> np.ndarray:
+        after = wide + extra[:-1]  # byte offsets of the wide characters
+        return offsets - extra[np.searchsorted(after, offsets)]
+
     doc_at = np.zeros(n + 1, dtype=bool)
-    doc_at[np.searchsorted(byte_at, doc_off[:-1][doc_off[:-1] < len(raw)])] = True
+    doc_at[char_at(doc_off[:-1])] = True
     doc_at[n] = True
     cls = classes[cp]
     new = doc_at[:n].copy()
@@ -238,7 +247,7 @@ def match_starts(raw: np.ndarray, doc_off: np.ndarray, classes: np.ndarray) -> n
     at, stop, taken = at[has], stop[has], taken[has]
     start[at] = False
     start[(at + taken)[stop - at > taken]] = True
-    return byte_at[start]
+    return byte_at(np.flatnonzero(start))
 
 
 def matches(col: pa.Array, classes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -252,9 +261,10 @@ def matches(col: pa.Array, classes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 # ---- encoding ---------------------------------------------------------------
 
-def _blocks(docs: DataFrame, classes, id_type: pa.DataType, block_bytes: int, words: bool):
+def _blocks(docs: DataFrame, classes, block_bytes: int, words: bool) -> DataFrame:
     """Rows of all blocks: (block, place, word) of the distinct matches, or
-    (block, id, compressed places) of the documents."""
+    (block, ids, sizes, places) of some documents each: their ids, their numbers
+    of matches, and the compressed places of these."""
     import zstandard
 
     def run(batches):
@@ -265,24 +275,30 @@ def _blocks(docs: DataFrame, classes, id_type: pa.DataType, block_bytes: int, wo
             block = part + seq
             every = pa.chunked_array([h[0] for h in held]).unify_dictionaries()
             vocabulary = every.chunk(0).dictionary
+            count = np.zeros(len(vocabulary), dtype=np.int64)
+            for chunk in every.chunks:
+                count += np.bincount(chunk.indices.to_numpy(), minlength=len(vocabulary))
+            by_count = np.argsort(-count, kind="stable")  # frequent matches get small places
             if words:
-                for at in range(0, len(vocabulary), 200_000):
-                    piece = vocabulary.slice(at, 200_000)
+                for at in range(0, len(vocabulary), 100_000):
+                    some = by_count[at:at + 100_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(piece), block)), pa.array(np.arange(at, at + len(piece), dtype=np.int32)),
-                         piece.cast(pa.binary())], names=["block", "place", "word"])
+                        [pa.array(np.full(len(some), block)), pa.array(np.arange(at, at + len(some), dtype=np.int32)),
+                         vocabulary.take(pa.array(some)).cast(pa.binary())], names=["block", "place", "word"])
                 return
+            place = np.empty(len(vocabulary), dtype=np.uint32)
+            place[by_count] = np.arange(len(vocabulary), dtype=np.uint32)
             press = zstandard.ZstdCompressor(level=6)
             for k, (_, doc, ids) in enumerate(held):
-                codes = every.chunk(k).indices.to_numpy().astype(np.uint32)
+                codes = place[every.chunk(k).indices.to_numpy()]
                 # bytes of equal weight together: the high ones are mostly zero
-                packed = [press.compress(np.ascontiguousarray(codes[a:b].view(np.uint8).reshape(-1, 4).T).tobytes())
-                          for a, b in zip(doc[:-1].tolist(), doc[1:].tolist())]
+                packed = press.compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes())
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), block)), ids, pa.array(packed, pa.binary())],
-                    names=["block", "id", "places"])
+                    [pa.array([block]), one(ids), one(pa.array(np.diff(doc).astype(np.int32))), pa.array([packed], pa.binary())],
+                    names=["block", "ids", "sizes", "places"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             m, doc = matches(batch.column(1), classes.value)
             held.append((m.dictionary_encode(), doc, batch.column(0)))
             size += batch.nbytes
@@ -292,8 +308,48 @@ def _blocks(docs: DataFrame, classes, id_type: pa.DataType, block_bytes: int, wo
         if held:
             yield from emit()
 
-    id_field = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, "block long, place int, word binary" if words else f"block long, id {id_field}, places binary")
+    id_type = docs.schema[0].dataType.simpleString()
+    return docs.mapInArrow(run, "block long, place int, word binary" if words
+                           else f"block long, ids array<{id_type}>, sizes array<int>, places binary")
+
+
+def _packed_answers(words: DataFrame) -> DataFrame:
+    """(block, places, sizes, ids): the ids of many matches of a block in one row."""
+    import zstandard
+
+    def run(batches):
+        held, rows = [], 0
+        press = zstandard.ZstdCompressor(level=3)
+
+        def emit():
+            block = np.concatenate([h[0] for h in held])
+            place = np.concatenate([h[1] for h in held])
+            size = np.concatenate([np.diff(h[2]) for h in held])
+            flat = np.concatenate([h[3] for h in held])
+            start = np.cumsum(size) - size
+            order = np.lexsort((place, block))
+            cuts = np.flatnonzero(np.diff(block[order])) + 1
+            for at in np.split(order, cuts):
+                step = np.diff(place[at], prepend=0).astype(np.uint32)
+                pack = lambda x, t: press.compress(np.ascontiguousarray(
+                    x.astype(t).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(block[at[0]])])] + [pa.array([pack(x, np.uint32)], pa.binary()) for x in (
+                        step, size[at], flat[ragged(start[at], size[at])])],
+                    names=["block", "places", "sizes", "ids"])
+
+        for batch in batches:
+            ids = batch.column(2)
+            off = ids.offsets.to_numpy()
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), off, ids.values.to_numpy()[off[0]:off[-1]]))
+            rows += batch.num_rows
+            if rows >= ANSWER_ROWS:
+                yield from emit()
+                held, rows = [], 0
+        if rows:
+            yield from emit()
+
+    return words.select("block", "place", "ids").mapInArrow(run, "block long, places binary, sizes binary, ids binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", id_col: str = "doc_id",
@@ -305,7 +361,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", id_
     classes = sc.broadcast(character_classes())
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[0].dataType.simpleString()
-    words = _blocks(docs, classes, None, block_bytes, True).repartition("word")
+    words = _blocks(docs, classes, block_bytes, True).repartition("word")
     # the fold runs once per distinct match: on the first of its rows
     by_word = Window.partitionBy("word").orderBy("block")
     first = F.row_number().over(by_word) == 1
@@ -314,46 +370,44 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", id_
 
     @F.udf("array<bigint>")
     def by_heap(word):
-        return heap_merges(bytes(word), table.value)
+        return heap_merges(bytes(word), table.value) if word is not None else None
 
     longer = F.octet_length("word") > fold_bytes
     words = words.withColumn("_first", first)
     words = words.withColumn("_ids", F.when(F.col("_first") & ~longer, merged))
-    words = words.withColumn("_ids", F.when(F.col("_first") & longer, by_heap(
-        F.when(F.col("_first") & longer, F.col("word")).otherwise(F.lit(b"")))).otherwise(F.col("_ids")))
+    words = words.withColumn("_ids", F.coalesce("_ids", by_heap(F.when(F.col("_first") & longer, F.col("word")))))
     words = words.withColumn("ids", F.first("_ids", ignorenulls=True).over(
         by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    words = words.select("block", "place", F.col("ids").cast("array<int>").alias("ids"))
-    coded = _blocks(docs, classes, None, block_bytes, False)
-
-    def assemble(documents: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        place = vocabulary.column("place").to_numpy()
-        lists = vocabulary.column("ids").combine_chunks()
-        off = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy()
-        start = np.empty(len(place), dtype=np.int64)
-        size = np.empty(len(place), dtype=np.int64)
-        start[place], size[place] = off[:-1], np.diff(off)
+    words = _packed_answers(words.withColumn("ids", F.col("ids").cast("array<int>")))
+    coded = _blocks(docs, classes, block_bytes, False)
+
+    def assemble(documents: pa.Table, answers: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        out, count = [], []
-        for packed in documents.column("places").to_pylist():
-            codes = np.ascontiguousarray(np.frombuffer(unpack.decompress(packed), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-            ids = flat[ragged(start[codes], size[codes])] if len(codes) else flat[:0]
-            out.append(ids)
-            count.append(len(ids))
-        values = pa.array(np.concatenate(out).astype(np.int32))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-        return pa.table({"id": documents.column("id"), "ids": pa.ListArray.from_arrays(offsets, values)})
-
-    def empty_or(documents: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        if not documents.num_rows:
-            return pa.table({"id": documents.column("id"), "ids": pa.array([], pa.list_(pa.int32()))})
-        if not vocabulary.num_rows:  # a block of empty texts
-            return pa.table({"id": documents.column("id"), "ids": pa.array([[]] * documents.num_rows, pa.list_(pa.int32()))})
-        return assemble(documents, vocabulary)
+
+        def unpacked(packed) -> np.ndarray:
+            return np.ascontiguousarray(np.frombuffer(unpack.decompress(packed), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+        rows = answers.to_pylist()
+        place = np.concatenate([np.cumsum(unpacked(r["places"]).astype(np.int64)) for r in rows] or [np.zeros(0, np.int64)])
+        found = np.concatenate([unpacked(r["sizes"]).astype(np.int64) for r in rows] or [np.zeros(0, np.int64)])
+        flat = np.concatenate([unpacked(r["ids"]) for r in rows] or [np.zeros(0, np.uint32)]).astype(np.int32)
+        start, size = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=np.int64)
+        start[place], size[place] = np.cumsum(found) - found, found
+        ids, values, counts = [], [], []
+        for k in range(documents.num_rows):
+            codes = unpacked(documents.column("places")[k].as_py())
+            n_matches = documents.column("sizes")[k].values.to_numpy()
+            values.append(flat[ragged(start[codes], size[codes])])
+            until = np.concatenate([[0], np.cumsum(size[codes])])[np.concatenate([[0], np.cumsum(n_matches)])]
+            counts.append(np.diff(until))
+            ids.append(documents.column("ids")[k].values)
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
+        out_ids = pa.concat_arrays(ids) if ids else pa.array([], documents.schema.field("ids").type.value_type)
+        out = pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))
+        return pa.table({"id": out_ids, "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), out)})
 
     return (coded.groupBy("block").cogroup(words.groupBy("block"))
-            .applyInArrow(empty_or, f"id {id_type}, ids array<int>")
+            .applyInArrow(assemble, f"id {id_type}, ids array<int>")
             .withColumnRenamed("id", id_col))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, langid, passages, simhash
+from . import bpe, decontaminate, embedding, langid, passages, simhash
 from .common import map_batches, table
 
 QUERIES: dict = {}
@@ -106,3 +106,10 @@ def op8_passages(spark, sf_dir):
     return (rows.join(found, (rows["doc_id"] == found["id"]) & (rows["_h"] == found["h"]), "left")
             .select("doc_id", "n_words", n_dup.alias("n_duplicate"), (F.size(spans) / 2).cast("long").alias("n_spans"),
                     spans.alias("spans"), F.coalesce("originals", F.array().cast("array<long>")).alias("originals")))
+
+
+@query
+def op3_embedding(spark, sf_dir):
+    """All vectors at a cosine of 0.9 or more."""
+    return embedding.links(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
