@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, embedding, langid, passages, simhash
+from . import bpe, decontaminate, embedding, langid, passages, simhash, urls, warc
 from .common import map_batches, table
 
 QUERIES: dict = {}
@@ -113,3 +113,58 @@ def op3_embedding(spark, sf_dir):
     """All vectors at a cosine of 0.9 or more."""
     return embedding.links(table(spark, sf_dir, "embeddings")).select(
         F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op10_urls(spark, sf_dir):
+    """Verdicts on the urls of all pages."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_warc(spark, sf_dir):
+    """Metadata and conversion records of all pages."""
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    h = F.col("headers")
+    return made.select(
+        F.col("id").alias("page_id"), "record_id", "type", h["WARC-Refers-To"].alias("refers_to"),
+        h["WARC-Target-URI"].alias("target_uri"), h["WARC-Source-Payload-Digest"].alias("source_digest"),
+        h["WARC-Block-Digest"].alias("block_digest"), h["Content-Length"].cast("long").alias("content_length"),
+        F.when(F.col("type") == "conversion", F.decode("block", "UTF-8")).alias("text"),
+        F.when(F.col("type") == "metadata", F.get_json_object(F.decode("block", "UTF-8"), "$.title")).alias("title"))
+
+
+def _uuid(kind: str, name: str) -> str:
+    h = f"md5('{kind}|' || {name})"
+    cuts = ", ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || concat_ws('-', {cuts}) || '>'"
+
+
+def _sql_decoded(text: str) -> str:
+    for entity, character in warc.ENTITIES:
+        text = "replace({}, '{}', '{}')".format(text, entity, character.replace("'", "''"))
+    return text
+
+
+_SQL_TEXT = "regexp_replace(regexp_replace(regexp_replace(html, '{}', ' ', 'g'), '{}', chr(10), 'g'), '{}', '', 'g')".format(
+    warc.HIDDEN, warc.BREAKS, warc.TAGS)
+_SQL_TEXT = (r"regexp_replace(regexp_replace(regexp_replace(" + _sql_decoded(_SQL_TEXT)
+             + r", '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')")
+
+ORACLES["op6_warc"] = f"""
+with p as (select page_id, coalesce(url, '') url, coalesce(html, '') html, sha256(coalesce(html, '')) payload,
+  'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+  || 'Content-Length: ' || strlen(coalesce(html, '')) as head from pages),
+s as (select *, {_uuid('response', "concat_ws('|', cast(page_id as varchar), url, payload)")} source_id,
+  sha256(head || chr(13) || chr(10) || chr(13) || chr(10) || html) whole,
+  trim({_sql_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) title, {_SQL_TEXT} as plain,
+  regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1) links from p),
+m as (select *, cast(to_json({{'title': title, 'links': links, 'http_headers': head, 'source': {{'record_id': source_id,
+  'payload_digest': 'sha256:' || payload, 'block_digest': 'sha256:' || whole,
+  'content_length': cast(strlen(head) + 4 + strlen(html) as varchar)}}}}) as varchar) meta from s)
+select page_id, {_uuid('metadata', 'source_id')} record_id, 'metadata' as type, source_id refers_to, url target_uri,
+  'sha256:' || payload source_digest, 'sha256:' || sha256(meta) block_digest, cast(strlen(meta) as bigint) content_length,
+  cast(null as varchar) as text, title from m
+union all
+select page_id, {_uuid('conversion', 'source_id')}, 'conversion', source_id, url, 'sha256:' || payload,
+  'sha256:' || sha256(plain), cast(strlen(plain) as bigint), plain, null from m"""
