@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, embedding, langid, passages, simhash, urls, warc
+from . import bpe, decontaminate, embedding, langid, passages, repeats, simhash, urls, warc
 from .common import map_batches, table
 
 QUERIES: dict = {}
@@ -134,6 +134,12 @@ def op6_warc(spark, sf_dir):
         F.when(F.col("type") == "metadata", F.get_json_object(F.decode("block", "UTF-8"), "$.title")).alias("title"))
 
 
+@query
+def op5_repeats(spark, sf_dir):
+    """All documents without the bytes of strings of 400 bytes that start twice."""
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def _uuid(kind: str, name: str) -> str:
     h = f"md5('{kind}|' || {name})"
     cuts = ", ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
