@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, embedding, langid, passages, repeats, simhash, urls, warc
+from . import bpe, decontaminate, embedding, langid, ngram, passages, repeats, simhash, urls, warc
 from .common import map_batches, table
 
 QUERIES: dict = {}
@@ -134,6 +134,16 @@ def op6_warc(spark, sf_dir):
         F.when(F.col("type") == "metadata", F.get_json_object(F.decode("block", "UTF-8"), "$.title")).alias("title"))
 
 
+@query
+def op2_ngram(spark, sf_dir):
+    """Log probabilities of all documents, learned from nine tenths of them."""
+    tenth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (tenth != 0).alias("train"))
+    return ngram.score(docs).select(
+        F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op5_repeats(spark, sf_dir):
     """All documents without the bytes of strings of 400 bytes that start twice."""
