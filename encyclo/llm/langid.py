@@ -118,7 +118,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
         for name, sums in total.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(at)), pa.array(at), pa.array(sums[at].astype(np.int64))],
+                [pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(sums[at].astype(np.int64))],
                 names=["lang", "bucket", "n"])
 
     counts = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
