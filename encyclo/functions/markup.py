@@ -142,8 +142,8 @@ def extract_importance(talk) -> Column:
 _NESTED_CACHE: dict = {}
 
 
-def _nested_remover(open_tag: str, close_tag: str, anchor: str, depth_limit: int):
-    key = (open_tag, close_tag, anchor, depth_limit)
+def _nested_remover(open_tag: str, close_tag: str, anchor: str):
+    key = (open_tag, close_tag, anchor)
     if key in _NESTED_CACHE:
         return _NESTED_CACHE[key]
     tok = re.compile("|".join(re.escape(t) for t in {open_tag, close_tag}))
@@ -167,8 +167,6 @@ def _nested_remover(open_tag: str, close_tag: str, anchor: str, depth_limit: int
                 if depth == 0:
                     end = t.end()
                     break
-                if depth >= depth_limit:   # runaway nesting: the text is given up
-                    return ""
             if end is None:               # unclosed: erase to the end
                 return "".join(out)
             pos = end
@@ -181,19 +179,16 @@ def _nested_remover(open_tag: str, close_tag: str, anchor: str, depth_limit: int
     return _NESTED_CACHE[key]
 
 
-def remove_nested(c, open_tag: str, close_tag: str, anchor: str | None = None,
-                  depth_limit: int = 300) -> Column:
+def remove_nested(c, open_tag: str, close_tag: str, anchor: str | None = None) -> Column:
     """Balanced removal of ``anchor``-opened regions: ``{{ a {{ b }} c }}`` goes
-    whole.  An unclosed region erases the rest of the text; nesting deeper than
-    ``depth_limit`` empties the text."""
-    udf, _ = _nested_remover(open_tag, close_tag, anchor or open_tag, depth_limit)
+    whole, however deep.  An unclosed region erases the rest of the text."""
+    udf, _ = _nested_remover(open_tag, close_tag, anchor or open_tag)
     return udf(_c(c))
 
 
-def remove_nested_py(text: str, open_tag: str, close_tag: str, anchor: str | None = None,
-                     depth_limit: int = 300) -> str:
+def remove_nested_py(text: str, open_tag: str, close_tag: str, anchor: str | None = None) -> str:
     """The same removal on one Python string (for tests)."""
-    _, strip = _nested_remover(open_tag, close_tag, anchor or open_tag, depth_limit)
+    _, strip = _nested_remover(open_tag, close_tag, anchor or open_tag)
     return strip(text)
 
 
@@ -228,9 +223,10 @@ def remove_html(c) -> Column:
     return c
 
 
-def clean_text(c, truncate_at_bullet: bool = True, nested: bool = True) -> Column:
+def clean_text(c, truncate_at_bullet: bool = False, nested: bool = True) -> Column:
     """Article text without markup, following the ordered clean-up steps.
 
+    ``truncate_at_bullet`` gives up everything from the first ``*`` on.
     ``nested=False`` skips the three balanced removals (templates, file and
     image links) -- for texts known to hold no ``{{`` or ``[[``.
     """

@@ -51,18 +51,30 @@ def remove_between(c, open_tag: str, close_tags, max_gap: int | None = None) ->
     return F.regexp_replace(_c(c), f"(?s){_q(open_tag)}{body}(?:{alt})", "")
 
 
+def without_pairs(text: str, target: str) -> str:
+    """Fix-point of removing the two-character ``target`` from ``text``."""
+    kept: list[str] = []
+    for ch in text:
+        if ch == target[1] and kept and kept[-1] == target[0]:
+            kept.pop()
+        else:
+            kept.append(ch)
+    return "".join(kept)
+
+
 def remove_target(c, target: str) -> Column:
     """Remove every ``target``, to a fix-point (a removal cannot join a new one)."""
     if len(target) == 1:
         return F.replace(_c(c), F.lit(target), F.lit(""))
     if len(target) == 2 and target[0] != target[1]:
-        # an opening/closing pair: a removal can join a new pair, as in '(())';
-        # the fix-point removes balanced nests, matched here up to depth 8
-        o, cl = _q(target[0]), _q(target[1])
-        pat = f"{o}{cl}"
-        for _ in range(7):
-            pat = f"{o}(?:{pat})*{cl}"
-        return F.regexp_replace(_c(c), f"(?:{pat})+", "")
+        # an opening/closing pair: a removal can join a new pair, as in '(())',
+        # to any depth; one pass with a stack of openings, only where a pair is
+        @F.pandas_udf("string")
+        def unpaired(s):
+            return s.map(lambda t: without_pairs(t, target), na_action="ignore")
+        c = _c(c)
+        has = c.contains(target)
+        return F.when(has, unpaired(F.when(has, c))).otherwise(c)
     # runs of a repeated-character target vanish in one regex pass
     return F.regexp_replace(_c(c), f"(?:{_q(target)})+", "")
 

@@ -23,7 +23,7 @@ from ..functions import vectors as V
 from ..session import ensure_checkpoint_dir, reliable_checkpoint
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int = 100,
+def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None = None,
                    vectors: DataFrame | None = None, heuristic_weight: float = 0.0,
                    beam: int | None = None, id_col: str = "vec_id",
                    vec_col: str = "embedding", pairs_per_batch: int | None = None) -> DataFrame:
@@ -51,7 +51,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int = 100,
     return _relax(edges, pairs, **kw)
 
 
-def _relax(edges: DataFrame, pairs: DataFrame, *, max_rounds: int, vectors: DataFrame | None,
+def _relax(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None, vectors: DataFrame | None,
            heuristic_weight: float, beam: int | None, id_col: str, vec_col: str) -> DataFrame:
     """One batch of pairs: the frontier relaxation itself."""
     spark = edges.sparkSession
@@ -66,7 +66,9 @@ def _relax(edges: DataFrame, pairs: DataFrame, *, max_rounds: int, vectors: Data
         goal_vec = (goals.join(vectors.select(F.col(id_col).alias("target"), F.col(vec_col).alias("gv")), "target")
                     .select("qid", "gv"))
         node_vec = vectors.select(F.col(id_col).alias("node"), F.col(vec_col).alias("nv"))
-    for _ in range(max_rounds):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         bound = (state.join(goals, (state.qid == goals.qid) & (state.node == goals.target))
                  .select(state.qid, F.col("cost").alias("_bound")))
         cand = (frontier.join(e, "node")

@@ -74,7 +74,7 @@ def cap_per_class(df: DataFrame, k: int, label_col: str = "label", order_col: st
 
 def class_batches(df: DataFrame, k: int, label_col: str = "label", order_col: str = "id") -> DataFrame:
     """Batch number per row: ``floor(position_in_class / k)``.  Positions come
-    from range partitions + per-partition offsets (``dense_index``), so a huge
+    from buckets of the sort order + their offsets (``dense_index``), so a huge
     class is split across tasks."""
     pos = dense_index(df, [label_col, order_col], "_gpos")
     first = pos.groupBy(label_col).agg(F.min("_gpos").alias("_first"))
@@ -225,9 +225,11 @@ def score_words(model, words: DataFrame, min_prob: float = 0.6, id_col: str = "w
 
 
 def train_embeddings(tokens: DataFrame, vector_size: int = 300, window: int = 8, min_count: int = 3,
-                     max_iter: int = 1, partitions: int = 8, seed: int = 7):
+                     max_iter: int = 1, partitions: int | None = None, seed: int = 7):
     """Word2Vec (skip-gram) over token arrays; returns the fitted model."""
     from pyspark.ml.feature import Word2Vec
+    if partitions is None:  # as many training tasks as the corpus has partitions
+        partitions = max(1, tokens.rdd.getNumPartitions())
     return Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, maxIter=max_iter,
                     numPartitions=partitions, seed=seed, inputCol="tokens", outputCol="vec").fit(tokens)
 
@@ -237,7 +239,7 @@ def doc_vectors(model, tokens: DataFrame, id_col: str = "id") -> DataFrame:
     return model.transform(tokens).select(id_col, vector_to_array("vec").alias("vec"))
 
 
-def topics(tokens: DataFrame, k: int = 10, vocab_size: int = 10000, max_iter: int = 10, seed: int = 7):
+def topics(tokens: DataFrame, k: int = 10, vocab_size: int = (1 << 31) - 1, max_iter: int = 10, seed: int = 7):
     """LDA topic model over token arrays: (model, vocabulary)."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
@@ -254,9 +256,15 @@ def vector_dataset(vectors: DataFrame, labels: DataFrame, per_class: int | None
 
 
 def load_model(path: str):
-    """Load a saved pipeline model (see ``sinks.save_model``)."""
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+    """Load a saved model of any kind (see ``sinks.save_model``)."""
+    import json
+
+    from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    meta = json.loads(spark.read.text(f"{path.rstrip('/')}/metadata").first()[0])
+    name = meta["class"].replace("org.apache.spark", "pyspark")
+    return DefaultParamsReader._DefaultParamsReader__get_class(name).load(path)
 
 
 def run_task(train: DataFrame, test: DataFrame, kind: str = "logistic", label_col: str = "label",

@@ -59,13 +59,16 @@ def redirects_table(pages: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def build_tables(pages: DataFrame, cutoff: str | None = "20010115",
-                 truncate_at_bullet: bool = True, titles: DataFrame | None = None,
+                 truncate_at_bullet: bool = False, titles: DataFrame | None = None,
                  redirects: DataFrame | None = None) -> dict[str, DataFrame]:
     """All keyed tables of a dump (``pages`` as from ``read_dump``).
 
     ``titles``/``redirects`` of the whole corpus may be passed in when
     ``pages`` is only a part of it (incremental ingest)."""
     titles = titles if titles is not None else titles_table(pages)
+    # links are resolved over all redirects, the broken ones too: those drop the link
+    every = redirects if redirects is not None else pages.where(is_redirect()).select(
+        "title", F.col("redirect").alias("target_title"))
     redirects = redirects if redirects is not None else redirects_table(pages, titles)
     body = filter_after(pages, cutoff) if cutoff else pages
     body = body.where(~is_redirect())
@@ -83,7 +86,7 @@ def build_tables(pages: DataFrame, cutoff: str | None = "20010115",
     parents = cat_edges(cats_pages).select(F.col("id").alias("child_id"),
                                            F.col("category_id").alias("parent_id"), "pos")
     raw_links = articles.select("id", F.posexplode(M.extract_links("raw_text")).alias("pos", "link"))
-    links = R.resolve_links(raw_links, titles, redirects.select("title", "target_title"))
+    links = R.resolve_links(raw_links, titles, every.select("title", "target_title"))
 
     cites = articles.select("id", M.extract_citations("raw_text").alias("c"))
     domains = cites.select("id", F.posexplode(M.extract_domains("c")).alias("pos", "domain"))

@@ -34,11 +34,15 @@ def title_resolver(titles: DataFrame, redirects: DataFrame | None = None) -> Dat
     direct = titles.select("title", "id", F.lit(1).alias("prio"))
     if redirects is None:
         return direct.groupBy("title").agg(F.max("id").alias("id"))
-    via = resolve_redirects(redirects, titles).select(
-        "title", F.col("target_id").alias("id"), F.lit(0).alias("prio"))
+    # a broken redirect keeps its title with no id, so the link is dropped and
+    # never falls back to a page of the same spelling
+    t = titles.select(F.col("title").alias("target_title"), "id")
+    via = (redirects.select("title", "target_title").join(t, "target_title", "left")
+           .select("title", "id", F.lit(0).alias("prio")))
     both = direct.unionByName(via)
-    return (both.groupBy("title")
-            .agg(F.min_by(F.col("id"), F.struct(F.col("prio"), -F.col("id"))).alias("id")))
+    best = (both.groupBy("title")
+            .agg(F.min_by(F.struct("id"), F.struct(F.col("prio"), F.col("id").isNull(), -F.col("id"))).alias("b")))
+    return best.select("title", "b.id").where(F.col("id").isNotNull())
 
 
 def resolve_titles(df: DataFrame, titles: DataFrame, col: str = "title",

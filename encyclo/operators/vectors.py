@@ -218,10 +218,13 @@ def word_algebra(queries: DataFrame, vectors: DataFrame, eps: float = 1e-3, *,
         .alias("pos", "t"))
         .select("qid", "pos", F.col("t.w").alias("w"), F.col("t.s").alias("s")))
     tv = terms.join(vectors.select(F.col(id_col).cast("long").alias("w"), F.col(vec_col).alias("v")), "w")
+    # a query with an unknown word is refused: all its words must have been found
+    asked = queries.select("qid", (F.size("positives") + F.size("negatives")).alias("_asked"))
     # one query's own terms only: bounded by the query length
     g = (tv.groupBy("qid")
          .agg(F.array_sort(F.collect_list(F.struct("pos", "s", "w", "v"))).alias("t"),
-              F.max("s").alias("_maxs")))
+              F.max("s").alias("_maxs"))
+         .join(asked, "qid").where(F.size("t") == F.col("_asked")).drop("_asked"))
     cand = _vecs(vectors, id_col, vec_col)
     mul = g.where(F.col("_maxs") > 0).select(
         F.col("qid").cast("long").alias("qid"), F.col("t.v").alias("terms"), F.col("t.s").alias("signs"),

@@ -59,7 +59,7 @@ def p8_url_domain(spark, sf_dir):
     return p.select("page_id", M.domain_of("url").alias("domain"))
 
 
-def _chain(x: str) -> str:
+def _chain(x: str, cut=False) -> str:
     """The clean-up steps as one nested DuckDB expression (the balanced
     template/file/image removals are no-ops on texts without '{{' or '[[')."""
     def rr(e, pat, rep=""):
@@ -89,7 +89,8 @@ def _chain(x: str) -> str:
     e = rp(e, "&")
     e = rr(e, r"\.{2,}", ".")
     e = rp(e, "=", " ")
-    e = f"split_part({e}, '*', 1)"
+    if cut:
+        e = f"split_part({e}, '*', 1)"
     e = rp(e, "#")
     e = rr(e, r"(?s)\(;.*?\)")
     e = rp(e, "—")
@@ -108,6 +109,13 @@ def _chain(x: str) -> str:
     return rr(e, r"^\s+|\s+$")
 
 
+@register("f15_cut_at_bullet", f"select doc_id as id, {_chain('text', True)} as text from documents")
+def f15_cut_at_bullet(spark, sf_dir):
+    """The clean-up with the cut at the first bullet."""
+    d = Tables(spark, sf_dir).documents
+    return d.select(F.col("doc_id").alias("id"), M.clean_text("text", truncate_at_bullet=True).alias("text"))
+
+
 @register("p13_clean_text", f"select doc_id as id, {_chain('text')} as text from documents")
 def p13_clean_text(spark, sf_dir):
     d = Tables(spark, sf_dir).documents

@@ -225,10 +225,10 @@ def g2_deepen_categories(spark, sf_dir):
 @register("e1_search_rows", """
     select * from customer
     where lower(cast(c_custkey as varchar)) = 'building' or lower(c_name) = 'building'
-       or lower(cast(c_nationkey as varchar)) = 'building' or lower(c_mktsegment) = 'building'""")
+       or lower(cast(c_nationkey as varchar)) = 'building' or lower(cast(c_acctbal as varchar)) = 'building' or lower(c_mktsegment) = 'building'""")
 def e1_search_rows(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return search_rows(t.customer, "BUILDING", columns=["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    return search_rows(t.customer, "BUILDING")
 
 
 @register("j7_talk_id_map", with_views("""
@@ -279,10 +279,9 @@ def s20_category_report(spark, sf_dir):
 @register("e1_search_first", """
     select * from customer
     where lower(cast(c_custkey as varchar)) = 'machinery' or lower(c_name) = 'machinery'
-       or lower(cast(c_nationkey as varchar)) = 'machinery' or lower(c_mktsegment) = 'machinery'
+       or lower(cast(c_nationkey as varchar)) = 'machinery' or lower(cast(c_acctbal as varchar)) = 'machinery' or lower(c_mktsegment) = 'machinery'
     order by c_custkey limit 1""")
 def e1_search_first(spark, sf_dir):
     """The first matching row (smallest key), as the table search returns it."""
     t = Tables(spark, sf_dir)
-    return search_rows(t.customer, "Machinery", columns=["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-                       first_only=True, order_by="c_custkey")
+    return search_rows(t.customer, "Machinery", first_only=True, order_by="c_custkey")

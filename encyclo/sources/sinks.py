@@ -8,6 +8,8 @@ row-by-row statements; inserts ignore ids already present (``left_anti``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,7 +115,7 @@ def update_columns(target: DataFrame, updates: DataFrame, key: str = "id",
         if c in cols:
             out.append(F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c))
         elif c == touch:
-            hit = F.coalesce(*[F.col(f"_new_{x}").isNotNull() for x in cols])
+            hit = reduce(lambda a, b: a | b, [F.col(f"_new_{x}").isNotNull() for x in cols])
             out.append(F.when(hit, F.current_timestamp()).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))

@@ -18,10 +18,12 @@ PAGE_COLUMNS = "id bigint, ns int, title string, redirect string, ts timestamp,
 
 
 def _existing_ids(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select("id")
-    except Exception:  # noqa: BLE001 - first batch: no table yet
+    """Ids of the stored table; None before the first batch.  Any read error is an error."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return None
+    return spark.read.parquet(path).select("id")
 
 
 def ingest_batch(batch: DataFrame, titles: DataFrame, articles_path: str,
@@ -39,12 +41,13 @@ def ingest_batch(batch: DataFrame, titles: DataFrame, articles_path: str,
 
 
 def stream_ingest(spark: SparkSession, pages_dir: str, titles: DataFrame, articles_path: str,
-                  checkpoint: str, cutoff: str | None = None, available_now: bool = True):
+                  checkpoint: str, cutoff: str | None = None, available_now: bool = True,
+                  redirects: DataFrame | None = None):
     """Start the ingest stream; with ``available_now`` it processes what is there and stops."""
     src = spark.readStream.schema(PAGE_COLUMNS).parquet(pages_dir)
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        ingest_batch(batch, titles, articles_path, cutoff)
+        ingest_batch(batch, titles, articles_path, cutoff, redirects)
 
     w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
