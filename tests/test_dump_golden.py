@@ -70,9 +70,11 @@ def test_quality_importance(tables):
 
 
 def test_text(tables):
-    _, t = tables
+    pages, t = tables
     txt = dict(rows(t["text"], "id", "text"))
-    assert txt[11] == "Beta links Alpha twice alpha."         # cut at the first '*'
+    cut = dict(rows(build_tables(pages, truncate_at_bullet=True)["text"], "id", "text"))
+    assert cut[11] == "Beta links Alpha twice alpha."         # cut at the first '*', when asked for
+    assert txt[11] == "Beta links Alpha twice alpha.  * bullet tail Gamma ray"
     assert txt[13] == "Unclosed"                              # unclosed template erases the rest
     assert txt[10].startswith("Alpha is the first letter before Gamma, see Old Beta")
     assert "Infobox" not in txt[10] and "Pic.png" not in txt[10] and "cite" not in txt[10]
