@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, ragged, slices, text_buffer
+from .common import map_batches, ragged, release, slices, text_buffer
 
 FOLD_BYTES = 64
 BLOCK_BYTES = 48 << 20
@@ -313,8 +313,9 @@ def _blocks(docs: DataFrame, classes, block_bytes: int, words: bool) -> DataFram
                            else f"block long, ids array<{id_type}>, sizes array<int>, places binary")
 
 
-def _packed_answers(words: DataFrame) -> DataFrame:
-    """(block, places, sizes, ids): the ids of many matches of a block in one row."""
+def _packed_answers(words: DataFrame, ranks) -> DataFrame:
+    """(block, places, sizes, ids): the ids of many matches of a block in one row;
+    matches that the fold left out are merged here."""
     import zstandard
 
     def run(batches):
@@ -340,6 +341,9 @@ def _packed_answers(words: DataFrame) -> DataFrame:
 
         for batch in batches:
             ids = batch.column(2)
+            if ids.null_count:
+                ids = pa.array([heap_merges(w, ranks.value) if w is not None else x
+                                for x, w in zip(ids.to_pylist(), batch.column(3).to_pylist())], pa.list_(pa.int32()))
             off = ids.offsets.to_numpy()
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), off, ids.values.to_numpy()[off[0]:off[-1]]))
             rows += batch.num_rows
@@ -349,7 +353,7 @@ def _packed_answers(words: DataFrame) -> DataFrame:
         if rows:
             yield from emit()
 
-    return words.select("block", "place", "ids").mapInArrow(run, "block long, places binary, sizes binary, ids binary")
+    return words.mapInArrow(run, "block long, places binary, sizes binary, ids binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", id_col: str = "doc_id",
@@ -366,19 +370,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", id_
     by_word = Window.partitionBy("word").orderBy("block")
     first = F.row_number().over(by_word) == 1
     merged = fold_merges(F.col("word"), ranks)
-    table = sc.broadcast(ranks)
-
-    @F.udf("array<bigint>")
-    def by_heap(word):
-        return heap_merges(bytes(word), table.value) if word is not None else None
-
-    longer = F.octet_length("word") > fold_bytes
-    words = words.withColumn("_first", first)
-    words = words.withColumn("_ids", F.when(F.col("_first") & ~longer, merged))
-    words = words.withColumn("_ids", F.coalesce("_ids", by_heap(F.when(F.col("_first") & longer, F.col("word")))))
+    # no Python in between, so that both windows and the fold share one exchange
+    words = words.withColumn("_ids", F.when(first & (F.octet_length("word") <= fold_bytes), merged))
     words = words.withColumn("ids", F.first("_ids", ignorenulls=True).over(
-        by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    words = _packed_answers(words.withColumn("ids", F.col("ids").cast("array<int>")))
+        by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("array<int>"))
+    words = _packed_answers(words.select("block", "place", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word")),
+                            sc.broadcast(ranks))
     coded = _blocks(docs, classes, block_bytes, False)
 
     def assemble(documents: pa.Table, answers: pa.Table) -> pa.Table:
@@ -393,18 +390,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", id_
         flat = np.concatenate([unpacked(r["ids"]) for r in rows] or [np.zeros(0, np.uint32)]).astype(np.int32)
         start, size = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=np.int64)
         start[place], size[place] = np.cumsum(found) - found, found
-        ids, values, counts = [], [], []
+        chunks = []
         for k in range(documents.num_rows):
             codes = unpacked(documents.column("places")[k].as_py())
             n_matches = documents.column("sizes")[k].values.to_numpy()
-            values.append(flat[ragged(start[codes], size[codes])])
             until = np.concatenate([[0], np.cumsum(size[codes])])[np.concatenate([[0], np.cumsum(n_matches)])]
-            counts.append(np.diff(until))
-            ids.append(documents.column("ids")[k].values)
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
-        out_ids = pa.concat_arrays(ids) if ids else pa.array([], documents.schema.field("ids").type.value_type)
-        out = pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))
-        return pa.table({"id": out_ids, "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), out)})
+            chunks.append(pa.RecordBatch.from_arrays(
+                [documents.column("ids")[k].values,
+                 pa.ListArray.from_arrays(pa.array(until.astype(np.int32)), pa.array(flat[ragged(start[codes], size[codes])]))],
+                names=["id", "ids"]))
+        del start, size, flat, place, found
+        release()
+        schema = pa.schema([("id", documents.schema.field("ids").type.value_type), ("ids", pa.list_(pa.int32()))])
+        return pa.Table.from_batches(chunks, schema)
 
     return (coded.groupBy("block").cogroup(words.groupBy("block"))
             .applyInArrow(assemble, f"id {id_type}, ids array<int>")

@@ -61,6 +61,16 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
         step = max(1, b.num_rows * size // max(b.nbytes, 1))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: Python workers live on between tasks, several to an executor."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def arrow_types(schema: T.StructType) -> dict[str, pa.DataType]:

@@ -64,23 +64,29 @@ def tokenizer_ranks(path: str | None = None) -> dict[bytes, int]:
     return bpe.load_ranks(path)
 
 
-@query
-def op9_bpe(spark, sf_dir):
-    """Ids of all documents, and their bytes decoded from the ids again."""
-    ranks = tokenizer_ranks()
-    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks)
-    back = bpe.decode(coded, ranks)
+def encoded_digests(coded, ranks, keep: list[str]):
+    """The kept columns of encoded documents, with the number and digest of their ids
+    and the digest of the bytes decoded from them."""
+    pieces = coded.sparkSession.sparkContext.broadcast(bpe.piece_table(ranks))  # one entry per piece of the vocabulary
 
     def digest(batch):
         ids = batch.column(batch.schema.get_field_index("ids"))
         values, off = ids.values.to_numpy(), ids.offsets.to_numpy()
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         return {"n_tokens": np.diff(off).astype(np.int64),
-                "ids_sha256": [hashlib.sha256(values[a:b].astype("<u4").tobytes()).hexdigest()
-                               for a, b in zip(off[:-1].tolist(), off[1:].tolist())]}
+                "ids_sha256": [sha(values[a:b].astype("<u4").tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist())],
+                "decoded_sha256": [sha(x) for x in bpe.decoded(ids, pieces.value)]}
+
+    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                         T.StructField("decoded_sha256", T.StringType())])
+    return map_batches(coded, digest, made, keep=keep)
 
-    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
-    return (map_batches(back, digest, made, keep=["doc_id", "decoded"])
-            .select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")))
+
+@query
+def op9_bpe(spark, sf_dir):
+    """Ids of all documents, and their bytes decoded from the ids again."""
+    ranks = tokenizer_ranks()
+    return encoded_digests(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks, keep=["doc_id"])
 
 
 @query
