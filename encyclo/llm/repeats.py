@@ -259,8 +259,8 @@ def spans(docs: DataFrame, length: int = LENGTH, hot_members: int = HOT_MEMBERS)
     place = F.xxhash64("digest", "first")
     buckets = (every.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
                .where("a <> b").select("key", (F.col("n") > hot_members).alias("hot")))
-    kept = every.join(buckets, "key").dropDuplicates(["digest", "key", "first"])
-    of_text = kept.groupBy("digest").agg(F.collect_list(F.struct("key", "hot", "first", "last")).alias("ranges"))
+    # copies of a text meet in the set of their ranges, combined before the shuffle
+    of_text = every.join(buckets, "key").groupBy("digest").agg(F.collect_set(F.struct("key", "hot", "first", "last")).alias("ranges"))
     one = rows.groupBy("digest").agg(F.min("id").alias("low"))
     of_text = of_text.join(one, "digest").select(F.col("digest").alias("d"), "low", "ranges")
     with_text = stage(docs.join(of_text, (docs["digest"] == of_text["d"]) & docs["id"].eqNullSafe(of_text["low"]))
