@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 MAX_WORD = 20
 WEIGHT = "decimal(38,12)"  # sums of weights do not depend on their order
 
@@ -105,7 +107,7 @@ def judge(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col
     fit = rule_for(F.col("host"), F.col("path"), rules)
     parts = parts.withColumn("_fit", fit)
     places = parts.groupBy("host", "path").agg(F.count("*").alias("n"))
-    words = segmented(places.select("host").distinct(), word_counts(pages, html_col))
+    words = segmented(places.select("host").distinct(), stage(word_counts(pages, html_col), "word-counts"))
     path_tokens = F.filter(F.split(F.lower("path"), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     tokens = (places.join(words, "host")
               .withColumn("tokens", F.concat(F.transform("words", lambda w: F.concat(F.lit("host "), w)),
