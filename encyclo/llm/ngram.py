@@ -42,12 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, stage, white_space_map
+from .common import Words, release, slices, stage, white_space_map
 
 PRIOR = 300.0
 ADDED = 0.1
-BLOCK_BYTES = 12 << 20
-SHARD_TOKENS = 1_500_000
+BLOCK_BYTES = 5 << 20
+SHARD_TOKENS = 750_000
 FLOOR = -16.0  # of log10 probabilities; 16 bits over this range are steps of 0.00025
 START = 0
 
@@ -244,7 +244,7 @@ def _read_blocks(docs: DataFrame, block_bytes: int, make, schema: str) -> DataFr
             train = np.concatenate([h[3] for h in held])
             yield from make(part + seq, ids, train, np.concatenate(sizes), np.concatenate(codes), words)
 
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             w = Words(batch.column(1), white_space_map())
             held.append((w.arrow().dictionary_encode(), w.doc, batch.column(0),
                          batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)))
@@ -382,6 +382,7 @@ def score(docs: DataFrame, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES,
         rows["shard"].append(None)
         rows["payload"].append(press(train=s["train"], sizes=s["sizes"], known=known.astype(np.uint32), base=base,
                                      again=np.where(new, 0, rank[which] + 1).astype(np.uint32), place=place[by_first].astype(np.uint32)))
+        release()
         lists = pa.concat_arrays([pa.nulls(len(rows["block"]) - 1, list_type), state.column("ids").combine_chunks().cast(list_type)])
         return pa.table({"block": pa.array(rows["block"], pa.int64()), "shard": pa.array(rows["shard"], pa.int64()),
                          "ids": lists, "payload": pa.array(rows["payload"], pa.binary())})
@@ -418,6 +419,7 @@ def score(docs: DataFrame, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES,
         out = np.empty(len(order), dtype=np.uint16)
         out[order] = result[np.cumsum(new) - 1]
         parts = np.split(out, np.cumsum(size)[:-1])
+        release()
         return pa.table({"block": pa.array(blocks, pa.int64()), "shard": pa.array([key[0].as_py()] * len(blocks), pa.int64()),
                          "payload": pa.array([press(codes=p) for p in parts], pa.binary())})
 
@@ -436,6 +438,7 @@ def score(docs: DataFrame, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES,
         rank = np.where(again > 0, again - 1, np.cumsum(again == 0) - 1)
         sizes = s["sizes"].astype(np.int64)
         sums = np.add.reduceat(log_prob[s["place"][rank]], np.cumsum(sizes) - sizes)
+        release()
         return pa.table({"id": state.column("ids")[0].values, "train": pa.array(s["train"].astype(bool)), "n_tokens": pa.array(sizes),
                          "n_known": pa.array(s["known"].astype(np.int64)), "base_score": pa.array(s["base"]), "score": pa.array(sums)})
 
