@@ -247,6 +247,24 @@ def test_passages(spark, docs, rows, empty, monkeypatch, hot):
     assert passages.remove_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [passages.HOT_IN_SAMPLE, 2])
+def test_passages_of_a_family_whose_first_member_is_far(spark, monkeypatch, hot):
+    monkeypatch.setattr(passages, "HOT_IN_SAMPLE", hot)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghinorst") for _ in range(8))
+    texts = []
+    for family in range(12):
+        b = [word() for _ in range(70)]
+        first = b[:30] + [word() for _ in range(40)]  # shares 26 of 66 shingles
+        c = b[:-2] + [word(), word()]
+        # the first and further members of another text hold the beginning as well
+        texts += [first, b[:30] + [word() for _ in range(40)], b, c]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: r for r in passages.spans_by_document(passages.duplicate_spans(docs)).collect()}
+    assert set(got) == {4 * k + 3 for k in range(12)}
+    assert all(got[k].originals == [k - 1] and got[k].spans[1] - got[k].spans[0] >= 66 for k in got)
+
+
 def test_similarity_threshold():
     rng = np.random.default_rng(6)
     a = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
