@@ -265,6 +265,20 @@ def test_passages_of_a_family_whose_first_member_is_far(spark, monkeypatch, hot)
     assert all(got[k].originals == [k - 1] and got[k].spans[1] - got[k].spans[0] >= 66 for k in got)
 
 
+def test_passages_of_a_later_place(spark):
+    # the first document holds the beginning of the passage several times, the whole only at the last place
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghinorst") for _ in range(8))
+    rows, n = [], 12
+    for k in range(n):
+        passage = [word() for _ in range(60)]
+        early = [w for _ in range(2) for w in passage[:30] + [word() for _ in range(40)]]
+        rows += [(2 * k, " ".join(early + passage)), (2 * k + 1, " ".join([word() for _ in range(60)] + passage))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.spans for r in passages.spans_by_document(passages.duplicate_spans(docs)).collect()}
+    assert got == {2 * k + 1: [60, 120] for k in range(n)}
+
+
 def test_similarity_threshold():
     rng = np.random.default_rng(6)
     a = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
@@ -274,6 +288,25 @@ def test_similarity_threshold():
     assert passages.matching_spans(a[20:120], a, 46, 0.8) == [(0, 100)]
 
 
+def test_similarity_of_repeated_lines():
+    rng = np.random.default_rng(8)
+    some = lambda n: rng.integers(0, 1 << 60, n, dtype=np.uint64)
+    line, passage = some(8), some(56)
+    passage[24:32] = line
+    inside = lambda spans: {k for s, e in spans for k in range(s, e)}
+    x = np.concatenate([some(20), passage, some(20)])
+    for a in (np.concatenate([line, some(30), passage]), np.concatenate([some(9), passage, some(12), line]),
+              np.concatenate([passage[:40], some(30), line, some(5), passage, some(7), line, passage[30:]])):
+        assert inside(passages.matching_spans(x, a, 46, 0.8)) == set(range(20, 76))
+    # a near copy, and one with words put in
+    near, longer = passage.copy(), np.concatenate([passage[:40], some(4), passage[40:]])
+    near[45:48] = some(3)
+    for x in (near, longer):
+        assert inside(passages.matching_spans(x, np.concatenate([line, some(30), line, some(3), passage]), 46, 0.8)) == set(range(len(x)))
+    # different lines around a common one are no passage
+    assert passages.matching_spans(np.concatenate([some(30), line, some(30)] * 2), np.concatenate([some(30), line] * 9), 46, 0.8) == []
+
+
 # ---- repeated strings -------------------------------------------------------------
 
 def brute_repeats(texts, length):
