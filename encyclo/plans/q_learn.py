@@ -291,7 +291,7 @@ def v1_word2vec(spark, sf_dir):
 @register("m14_topics")
 def m14_topics(spark, sf_dir):
     tok = K.tokens(Tables(spark, sf_dir).w_text)
-    lda, vocab = L.topics(tok, k=5, vocab_size=2000, max_iter=5)
+    lda, vocab = L.topics(tok, k=5, max_iter=5)
     return lda.describeTopics(10)
 
 

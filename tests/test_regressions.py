@@ -105,3 +105,13 @@ def test_tag_match_of_category_names(spark):
     keys = spark.createDataFrame([("Category:Virginia",), ("west_virginia_towns",), ("Towns_in_Ohio",), ("Category:Ohioan",)], "title string")
     got = {r.title: r.class_name for r in TM.tag_match(keys, tags).collect()}
     assert got == {"Category:Virginia": "virginia", "west_virginia_towns": "west_virginia", "Towns_in_Ohio": "ohio"}
+
+
+def test_topics_take_the_whole_vocabulary(spark, monkeypatch):
+    from encyclo.plans import q_learn
+    words = " ".join(f"word{k}" for k in range(2500))
+    texts = spark.createDataFrame([(1, words), (2, words)], "id long, text string")
+    monkeypatch.setattr(q_learn, "Tables", lambda *a: type("T", (), {"w_text": texts}))
+    sizes, topics = [], L.topics
+    monkeypatch.setattr(L, "topics", lambda *a, **k: (out := topics(*a, **k), sizes.append(len(out[1])))[0])
+    assert q_learn.m14_topics(spark, "").count() == 5 and sizes == [2500]
