@@ -11,7 +11,8 @@ so a lost executor recomputes at most one round.
 
 ``beam``/``heuristic_weight`` turn the search into a weighted A*-like beam
 search (f = g + w * (1 - cos(node, goal)), best ``beam`` nodes per query per
-round) -- faster, not exact; the exact search is its yardstick.
+round) -- faster, not exact; the exact search is its yardstick.  Pairs that end
+without a path are searched again with a wider beam, until nothing was pruned.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import ensure_checkpoint_dir, reliable_checkpoint
 
+WIDEN = 4
+
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None = None,
                    vectors: DataFrame | None = None, heuristic_weight: float = 0.0,
@@ -42,18 +45,35 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None
         batches = max(1, -(-n // pairs_per_batch))
         if batches > 1:
             keyed = reliable_checkpoint(pairs.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(batches))))
-            parts = [reliable_checkpoint(_relax(edges, keyed.where(F.col("_b") == b).drop("_b"), **kw))
+            parts = [reliable_checkpoint(_search(edges, keyed.where(F.col("_b") == b).drop("_b"), **kw))
                      for b in range(batches)]
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
             return out
-    return _relax(edges, pairs, **kw)
+    return _search(edges, pairs, **kw)
+
+
+def _search(edges: DataFrame, pairs: DataFrame, *, beam: int | None, **kw) -> DataFrame:
+    """One batch of pairs; those a beam leaves without a path get one ``WIDEN`` times as wide."""
+    if beam is None:
+        return _relax(edges, pairs, beam=None, **kw)[0]
+    out = None
+    while True:
+        found, pruned = _relax(edges, pairs, beam=beam, **kw)
+        found = reliable_checkpoint(found)
+        out = found if out is None else out.unionByName(found)
+        if not pruned:
+            return out
+        pairs = reliable_checkpoint(pairs.join(found.select("qid"), "qid", "left_anti"))
+        if pairs.isEmpty():
+            return out
+        beam *= WIDEN
 
 
 def _relax(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None, vectors: DataFrame | None,
-           heuristic_weight: float, beam: int | None, id_col: str, vec_col: str) -> DataFrame:
-    """One batch of pairs: the frontier relaxation itself."""
+           heuristic_weight: float, beam: int | None, id_col: str, vec_col: str) -> tuple[DataFrame, bool]:
+    """The frontier relaxation itself, and whether the beam left out a node."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select(F.col("src").alias("node"), "dst", F.col("cost").alias("w"))
@@ -66,7 +86,7 @@ def _relax(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None, vector
         goal_vec = (goals.join(vectors.select(F.col(id_col).alias("target"), F.col(vec_col).alias("gv")), "target")
                     .select("qid", "gv"))
         node_vec = vectors.select(F.col(id_col).alias("node"), F.col(vec_col).alias("nv"))
-    rounds = 0
+    rounds, pruned = 0, False
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
         bound = (state.join(goals, (state.qid == goals.qid) & (state.node == goals.target))
@@ -92,9 +112,10 @@ def _relax(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None, vector
             # every improvement is recorded in the state (so a pruned node only
             # comes back through a cheaper path); only the best `beam` nodes
             # per query by f = g + w * h are expanded next
-            f = F.col("cost") + F.lit(heuristic_weight) * (F.lit(1.0) - V.cosine("nv", "gv"))
-            ranked = (improved.join(node_vec, "node").join(goal_vec, "qid")
+            f = F.col("cost") + F.lit(heuristic_weight) * (F.lit(1.0) - F.coalesce(V.cosine("nv", "gv"), F.lit(1.0)))
+            ranked = (improved.join(node_vec, "node", "left").join(goal_vec, "qid", "left")
                       .withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(f, "node"))))
             frontier = ranked.where(F.col("_r") <= beam).select("qid", "node", "cost", "path")
+            pruned = pruned or not improved.groupBy("qid").count().where(F.col("count") > beam).isEmpty()
     res = state.join(pairs, (state.qid == pairs.qid) & (state.node == pairs.target))
-    return res.select(state.qid, "source", "target", F.col("cost"), (F.size("path") - 1).alias("hops"), "path")
+    return res.select(state.qid, "source", "target", F.col("cost"), (F.size("path") - 1).alias("hops"), "path"), pruned

@@ -115,3 +115,21 @@ def test_topics_take_the_whole_vocabulary(spark, monkeypatch):
     sizes, topics = [], L.topics
     monkeypatch.setattr(L, "topics", lambda *a, **k: (out := topics(*a, **k), sizes.append(len(out[1])))[0])
     assert q_learn.m14_topics(spark, "").count() == 5 and sizes == [2500]
+
+
+def test_beam_finds_every_reachable_pair(spark):
+    # the beam of one follows the cheap dead ends; node 8 has no vector
+    edges = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.1), (1, 4, 0.5), (1, 5, 0.6), (5, 8, 0.1), (8, 9, 0.1)],
+                                  "src long, dst long, cost double")
+    pairs = spark.createDataFrame([(1, 1, 9), (2, 1, 3), (3, 9, 1)], "qid long, source long, target long")
+    vec = spark.createDataFrame([(k, [1.0, float(k)]) for k in (1, 2, 3, 4, 5, 9)], "vec_id long, embedding array<double>")
+    got = G.shortest_paths(edges, pairs, vectors=vec, heuristic_weight=0.1, beam=1)
+    assert {(r.qid, tuple(r.path)) for r in got.collect()} == {(1, (1, 5, 8, 9)), (2, (1, 2, 3))}
+
+
+def test_beam_query_has_the_pairs_of_the_exact_one(spark):
+    from conftest import SF01
+    from encyclo.plans.registry import load_all
+    pairs = [{(r.source, r.target) for r in load_all()[q].fn(spark, SF01).select("source", "target").collect()}
+             for q in ("g3_shortest_paths", "g4_beam_paths")]
+    assert pairs[0] == pairs[1]
