@@ -264,7 +264,7 @@ def spans(docs: DataFrame, length: int = LENGTH, hot_members: int = HOT_MEMBERS)
     one = rows.groupBy("digest").agg(F.min("id").alias("low"))
     of_text = of_text.join(one, "digest").select(F.col("digest").alias("d"), "low", "ranges")
     with_text = stage(docs.join(of_text, (docs["digest"] == of_text["d"]) & docs["id"].eqNullSafe(of_text["low"]))
-                      .select("digest", "text", "ranges"), "repeat-candidates")
+                      .select("digest", "text", "ranges").dropDuplicates(["digest"]), "repeat-candidates")
 
     def bodies(batches):
         for b in slices(batches, SLICE):

@@ -350,6 +350,16 @@ def test_repeats(spark, docs, rows, empty, hot):
     assert repeats.removed(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [repeats.HOT_MEMBERS, 1])
+def test_repeats_of_a_repeated_row(spark, hot):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(450)
+    rows = [(1, text(100) + shared + text(60))] * 3 + [(2, text(80) + shared), (3, text(300)), (3, "x" + shared), (None, text(30) + shared)] + [(None, text(200))] * 2
+    got = sorted([tuple(r) for r in repeats.removed(spark.createDataFrame(rows, "doc_id long, text string"), hot_members=hot).collect()], key=str)
+    assert got == sorted([(r[0], *x) for r, x in zip(rows, brute_repeats([r[1].encode() for r in rows], 400))], key=str)
+
+
 # ---- byte-level BPE ---------------------------------------------------------------
 
 @pytest.fixture(scope="module")
