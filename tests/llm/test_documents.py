@@ -255,10 +255,9 @@ def test_passages_of_a_family_whose_first_member_is_far(spark, monkeypatch, hot)
     texts = []
     for family in range(12):
         b = [word() for _ in range(70)]
-        first = b[:30] + [word() for _ in range(40)]  # shares 26 of 66 shingles
+        far = lambda: b[:32] + [word() for _ in range(6)] + b[38:]  # noqa: E731  shares 56 of 66 shingles
         c = b[:-2] + [word(), word()]
-        # the first and further members of another text hold the beginning as well
-        texts += [first, b[:30] + [word() for _ in range(40)], b, c]
+        texts += [far(), far(), b, c]
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     got = {r.id: r for r in passages.spans_by_document(passages.duplicate_spans(docs)).collect()}
     assert set(got) == {4 * k + 3 for k in range(12)}
