@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, embedding, langid, ngram, passages, repeats, simhash, urls, warc
-from .common import map_batches, table
+from . import (bpe, decontaminate, embedding, htmltext, langid, merkle, ngram, passages, repeats, simhash, urls,
+               vectorcodes, warc)
+from .common import map_batches, stage, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -190,3 +191,122 @@ select page_id, {_uuid('metadata', 'source_id')} record_id, 'metadata' as type,
 union all
 select page_id, {_uuid('conversion', 'source_id')}, 'conversion', source_id, url, 'sha256:' || payload,
   'sha256:' || sha256(plain), cast(strlen(plain) as bigint), plain, null from m"""
+
+
+@query
+def op11_merkle(spark, sf_dir):
+    """Proofs of all documents against the manifest's root, half of them with a changed text."""
+    def leaf(text):
+        parts = [merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")]
+        return merkle.digest_of(*parts, merkle.field(text))
+
+    text = F.col("text")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(even & text.contains("\n"), leaf(F.replace(text, F.lit("\n"), F.lit(""))))
+    tiers, top = merkle.manifest(table(spark, sf_dir, "documents"), leaf(text), F.col("source"), F.col("doc_id"),
+                                 keep=["doc_id"], other=changed)
+    return merkle.check(tiers, top)
+
+
+def _sql_field(col: str) -> str:
+    text = f"cast({col} as varchar)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _sql_leaf(text: str) -> str:
+    return f"sha256({' || '.join(_sql_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _sql_tree(name: str, leaves: str) -> str:
+    """Levels of trees over ``leaves`` (g, i, h): ``name``, and ``name``_sib with what stands beside each node."""
+    return f"""{name} as (
+  select g, 0 lv, i, h, count(*) over (partition by g) n from {leaves}
+  union all
+  select g, lv + 1, i // 3, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from {name} where n > 1 group by g, lv, i // 3, n),
+{name}_sib as (select g, lv, i, coalesce(string_agg(h, '' order by i) over (w rows between unbounded preceding and 1 preceding), '') a,
+  coalesce(string_agg(h, '' order by i) over (w rows between 1 following and unbounded following), '') z
+  from {name} where n > 1 window w as (partition by g, lv, i // 3 order by i))"""
+
+
+# CRC-32 of the decimal digits, from the table of its bytes
+_SQL_CRC = """crc as (select list(list_reduce([b] || [cast(0 as bigint) for x in range(8)],
+  lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) order by b) bytes from (select unnest(range(256)) b)),
+docs as (select *, xor(4294967295, list_reduce([4294967295] || [cast(ascii(x) as bigint) for x in string_split(cast(doc_id as varchar), '')],
+  lambda c, x: xor(bytes[(xor(c, x) & 255) + 1], c >> 8))) % 2 = 0 even from documents, crc)"""
+
+ORACLES["op11_merkle"] = f"""
+with recursive {_SQL_CRC},
+d as (select row_number() over () rid, doc_id, coalesce('s' || source, 'n') g, source, {_sql_leaf('text')} leaf,
+  {_sql_leaf("case when even then replace(text, chr(10), '') else text end")} other from docs),
+leaves as (select rid, g, source, leaf h, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 i from d),
+{_sql_tree('t', 'leaves')},
+subs as (select 0 g, row_number() over (order by s.source nulls first) - 1 i, t.h, t.g of_group
+  from t join (select distinct g, source from d) s using (g) where t.n = 1),
+{_sql_tree('u', 'subs')},
+f as (select rid, 0 lv, l.g, l.i, other h, '' proof from leaves l join d using (rid)
+  union all select f.rid, f.lv + 1, f.g, f.i // 3, sha256(s.a || f.h || s.z), f.proof || s.a || s.z
+  from f join t_sib s on s.g = f.g and s.lv = f.lv and s.i = f.i),
+ft as (select rid, g, h, proof from f qualify row_number() over (partition by rid order by lv desc) = 1),
+k as (select rid, 0 lv, subs.i, ft.h, proof from ft join subs on subs.of_group = ft.g
+  union all select k.rid, k.lv + 1, k.i // 3, sha256(s.a || k.h || s.z), k.proof || s.a || s.z
+  from k join u_sib s on s.lv = k.lv and s.i = k.i),
+kt as (select rid, h, proof from k qualify row_number() over (partition by rid order by lv desc) = 1)
+select doc_id, leaf, subs.h subroot, u.h root, sha256(proof) proof_sha256, kt.h folded_root, kt.h = u.h verified
+from d join kt using (rid) join subs on subs.of_group = d.g, u where u.n = 1"""
+
+
+@query
+def op12_html(spark, sf_dir):
+    """Main text of all pages."""
+    return htmltext.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+# The pages of the tables have one article element each; the SQL takes it by its tags.
+ORACLES["op12_html"] = r"""
+with a as (select page_id, url, regexp_extract(html, '(?s)<article[^>]*>(.*?)(</article>|$)', 1) x from pages),
+b as (select page_id, url, string_split(regexp_replace(regexp_replace(x, '</?(p|h[1-6]|ul|li|div)(\s[^>]*)?>', chr(1), 'g'),
+  '<[^>]*>', ' ', 'g'), chr(1)) parts from a),
+c as (select page_id, url, list_filter(list_transform(parts, lambda y: trim(regexp_replace(replace(replace(replace(replace(replace(y,
+  '&quot;', '"'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda y: y <> '') blocks from b)
+select page_id, url, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') as text,
+  cast(length(coalesce(array_to_string(blocks, chr(10) || chr(10)), '')) as bigint) n_chars from c"""
+
+
+@query
+def op13_codes(spark, sf_dir):
+    """Codes of all usable vectors, with the error of each and of its label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vectorcodes.train(vectors)
+    coded = stage(vectorcodes.encode(vectors, books, keep=["vec_id", "label"]), "codes")
+    return (vectorcodes.with_group_sum(coded, "label", "error", "label_error")
+            .select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.codebooks_digest(books)).alias("codebooks_sha256")))
+
+
+def _sql_assign(out: str, books: str) -> str:
+    return f"""{out} as (select rid, part, y, b.d d, b.e e from (select rid, part, y,
+  min({{'d': cast(list_sum([(y[i] - c[i]) * (y[i] - c[i]) for i in range(1, len(y) + 1)]) as bigint), 'e': e}}) b
+  from p join {books} using (part) group by rid, part, y))"""
+
+
+def _sql_round(out: str, assigned: str, old: str) -> str:
+    return f"""{out}_n as (select part, e, list(m order by i) c from (select part, e, i, cast(floor(sum(y[i]) / count(*)) as bigint) m
+  from {assigned}, (select unnest(range(1, 1 + (select max(len(y)) from p))) i) group by part, e, i) group by part, e),
+{out} as (select part, e, coalesce(n.c, o.c) c from {old} o left join {out}_n n using (part, e))"""
+
+
+ORACLES["op13_codes"] = f"""
+with v as (select row_number() over () rid, vec_id, label, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] q
+  from embeddings where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+p as (select rid, part, list_slice(q, part * (len(q) // 16) + 1, (part + 1) * (len(q) // 16)) y
+  from v, (select unnest(range(16)) part)),
+s as (select rid, row_number() over (order by vec_id nulls last, q) - 1 e from v),
+b0 as (select part, e, y c from p join s using (rid) where e < 64),
+{_sql_assign('a0', 'b0')},
+{_sql_round('b1', 'a0', 'b0')},
+{_sql_assign('a1', 'b1')},
+{_sql_round('b2', 'a1', 'b1')},
+{_sql_assign('a2', 'b2')},
+r as (select rid, string_agg(printf('%02x', e), '' order by part) code, cast(sum(d) as bigint) as error from a2 group by rid)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error,
+  (select sha256(string_agg(array_to_string(c, ','), ',' order by part, e)) from b2) codebooks_sha256
+from v join r using (rid)"""
