@@ -20,21 +20,23 @@ broadcast codebooks hold parts x entries x components numbers whatever the
 number of vectors.
 
 Defined cases: vectors that are null or hold a null or a non-finite component
-have no row in any result.  Fewer vectors than entries give codebooks of that
-many entries; an empty table gives none and no rows.  Equal ids at the start
-are taken in the order of their integer vectors, null ids last; repeated rows
-each have their row and weight.  All vectors must have one length that the
-number of parts divides, and integers whose squared distances fit 64 bits
-(about 3e8 in a part of four components): anything else raises an error.
+have no row in any result.  The others are returned; one shorter than the
+longest, or with integers whose squared distances could leave 64 bits (beyond
+3e8 in parts of four components), has no part in the codebooks and a null code
+and error.  Fewer vectors than entries give codebooks of that many entries; an
+empty table gives none and no rows.  Equal ids at the start are taken in the
+order of their integer vectors, null ids last; repeated rows each have their
+row and weight.  A length that the number of parts does not divide is an error
+of the call.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,17 +54,16 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & ~bad, F.lit(False))
 
 
-def integers(col: pa.Array, parts: int, scale: int = SCALE) -> np.ndarray:
-    """``floor(scale * x)`` of all components, shaped (rows, parts, components of a part)."""
-    lens = pc.list_value_length(col).to_numpy(zero_copy_only=False)
-    size = int(lens[0]) if len(lens) else 0
-    if (lens != size).any() or size % parts or (len(lens) and not size):
-        raise ValueError(f"vectors must have one length that {parts} divides")
-    x = np.floor(col.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-    width = size // parts
-    if len(x) and width * (2 * np.abs(x).max()) ** 2 >= 2.0 ** 61:
-        raise ValueError("components too large for squared distances of 64 bits")
-    return x.astype(np.int64).reshape(len(lens), parts, width)
+def codable(vec: Column, size: int, parts: int) -> Column:
+    """Whether a usable vector has the common size and integers small enough for squared distances of 64 bits."""
+    bound = float(math.isqrt(2 ** 59 * parts // max(size, 1))) / SCALE
+    return usable(vec) & (F.size(vec) == size) & ~F.exists(vec, lambda x: F.abs(x.cast("double")) >= bound)
+
+
+def integers(col: pa.Array, parts: int, width: int) -> np.ndarray:
+    """``floor(256 * x)`` of all components, shaped (rows, parts, components of a part)."""
+    x = np.floor(col.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE)
+    return x.astype(np.int64).reshape(len(col), parts, width)
 
 
 class Codebook:
@@ -107,12 +108,17 @@ class Codebook:
 def first_entries(df: DataFrame, vec: str, key: str, parts: int, entries: int) -> np.ndarray | None:
     """Codebooks (part, entry, component) from the vectors of the smallest ids; at most
     ``entries`` rows reach the driver."""
+    size = df.where(usable(F.col(vec))).agg(F.max(F.size(vec))).first()[0]
+    if not size:
+        return None
+    if size % parts:
+        raise ValueError(f"vectors of {size} components cannot be cut into {parts} equal parts")
     whole = F.transform(F.col(vec).cast("array<double>"), lambda x: F.floor(x * SCALE))
-    rows = (df.where(usable(F.col(vec))).select(F.col(key).alias("k"), F.col(vec).alias("v"), whole.alias("w"))
+    rows = (df.where(codable(F.col(vec), size, parts)).select(F.col(key).alias("k"), F.col(vec).alias("v"), whole.alias("w"))
             .orderBy(F.col("k").asc_nulls_last(), "w").limit(entries).select("v").collect())
     if not rows:
         return None
-    return integers(pa.array([r.v for r in rows], type=pa.list_(pa.float64())), parts).transpose(1, 0, 2).copy()
+    return integers(pa.array([r.v for r in rows], type=pa.list_(pa.float64())), parts, size // parts).transpose(1, 0, 2).copy()
 
 
 def _sums(df: DataFrame, vec: str, books: np.ndarray) -> DataFrame:
@@ -124,7 +130,7 @@ def _sums(df: DataFrame, vec: str, books: np.ndarray) -> DataFrame:
         n = np.zeros((parts, k), dtype=np.int64)
         total = np.zeros((parts, k, width), dtype=object)  # Python's integers: no overflow in a long task
         for b in slices(batches):
-            x = integers(b.column(0), parts)
+            x = integers(b.column(0), parts, width)
             for p in range(parts):
                 best, _ = searched[p].nearest(x[:, p])
                 n[p] += np.bincount(best, minlength=k)
@@ -137,7 +143,7 @@ def _sums(df: DataFrame, vec: str, books: np.ndarray) -> DataFrame:
              pa.array([[str(v) for v in total[i, j]] for i, j in zip(p, e)], pa.list_(pa.string()))],
             names=["part", "entry", "n", "total"])
 
-    partial = df.where(usable(F.col(vec))).select(vec).mapInArrow(run, "part int, entry int, n long, total array<string>")
+    partial = df.where(codable(F.col(vec), parts * width, parts)).select(vec).mapInArrow(run, "part int, entry int, n long, total array<string>")
     sums = [F.sum(F.col("total")[i].cast("decimal(38,0)")).cast("string").alias(f"s{i}") for i in range(width)]
     return partial.groupBy("part", "entry").agg(F.sum("n").alias("n"), *sums)
 
@@ -165,18 +171,22 @@ def encode(df: DataFrame, books: np.ndarray | None, vec: str = "embedding", keep
     keep = [c for c in (df.columns if keep is None else keep) if c not in made.names]
     rows = df.where(usable(F.col(vec)))
     if books is None:
-        return rows.limit(0).select(*keep, F.lit("").alias("code"), F.lit(0).cast("long").alias("error"))
+        return rows.select(*keep, F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
+    parts, _, width = books.shape
     digits = np.array([f"{i:02x}" for i in range(books.shape[1])])
 
     def run(batch: pa.RecordBatch) -> dict:
-        x = integers(batch.column(batch.schema.get_field_index("_vector")), len(books))
+        vectors = batch.column(batch.schema.get_field_index("_vector"))
+        there = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+        code, error = np.full(len(vectors), None, dtype=object), np.full(len(vectors), None, dtype=object)
+        x = integers(vectors.drop_null(), parts, width)
         found = [Codebook(b).nearest(x[:, p]) for p, b in enumerate(books)]
-        code = digits[found[0][0]]
-        for best, _ in found[1:]:
-            code = np.char.add(code, digits[best])
-        return {"code": code.tolist(), "error": sum(d for _, d in found)}
+        code[there] = ["".join(row) for row in digits[np.stack([best for best, _ in found], axis=1)].tolist()]
+        error[there] = sum(d for _, d in found).tolist()
+        return {"code": code.tolist(), "error": error.tolist()}
 
-    return map_batches(rows.select(*keep, F.col(vec).alias("_vector")), run, made, keep=keep)
+    vector = F.when(codable(F.col(vec), parts * width, parts), F.col(vec))
+    return map_batches(rows.select(*keep, vector.alias("_vector")), run, made, keep=keep)
 
 
 def codebooks_digest(books: np.ndarray | None) -> str:
