@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..operators import quality as Q
+from ..session import ensure_checkpoint_dir
 from ..sources import sinks as S
+from ..sources.dump import scan_dump
 from ..sources.fixtures import Tables, with_views
 from .q_relational import _LABEL_CASE, _RANK_CASE
 from .registry import register
@@ -256,3 +259,33 @@ def p7_p9_citations(spark, sf_dir):
     doms = cites.select("id", F.lit("domain").alias("kind"), F.posexplode(M.extract_domains("c")).alias("pos", "value"))
     auth = cites.select("id", F.lit("author").alias("kind"), F.posexplode(M.extract_authors("c")).alias("pos", "value"))
     return doms.unionByName(auth)
+
+
+def _page_xml(docs):
+    """Documents as ``<page>`` elements; of every 50 one has a broken text, one no id, and one comes
+    after the beginning of a page that is never closed."""
+    text = F.coalesce("text", F.lit(""))
+    for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(raw), F.lit(ref))
+    role = F.col("doc_id") % 50
+    return docs.select(F.concat(
+        F.when(role == 7, "  <page>\n    <title>Lost page</title>\n    <ns>0</ns>\n").otherwise(""),
+        F.lit("  <page>\n    <title>Document "), F.col("doc_id").cast("string"), F.lit("</title>\n    <ns>0</ns>\n"),
+        F.when(role == 5, "").otherwise(F.concat(F.lit("    <id>"), F.col("doc_id").cast("string"), F.lit("</id>\n"))),
+        F.when(role % 10 == 9, F.concat(F.lit("    <redirect title=\"document "), (F.col("doc_id") - 1).cast("string"), F.lit("\" />\n"))).otherwise(""),
+        F.lit("    <revision>\n      <id>1</id>\n      <timestamp>2010-01-01T00:00:00Z</timestamp>\n      <text xml:space=\"preserve\">"),
+        F.when(role == 3, F.lit("<b>")).otherwise(""), text, F.lit("</text>\n    </revision>\n  </page>")).alias("value"))
+
+
+@register("s1_dump_scan", """
+    with d as (select doc_id, doc_id % 50 as part, regexp_replace(coalesce(text, ''), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') t from documents)
+    select case when part not in (3, 5) then doc_id end id, case when part not in (3, 5) then 'Document_' || doc_id end title,
+      case when part not in (3, 5) and part % 10 = 9 then 'Document_' || (doc_id - 1) end redirect,
+      case when part not in (3, 5) then md5(t) end text_md5,
+      case part when 3 then 'malformed' when 5 then 'no id' end problem from d
+    union all select null, null, null, null, 'unclosed' from d where part = 7""")
+def s1_dump_scan(spark, sf_dir):
+    """All documents written as a dump and scanned again, broken pages with their reason."""
+    path = f"{ensure_checkpoint_dir(spark)}/dump-{uuid.uuid4().hex}"
+    _page_xml(Tables(spark, sf_dir).documents).write.text(path)
+    return scan_dump(spark, path).select("id", "title", "redirect", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"), "problem")
