@@ -41,10 +41,14 @@ def is_disambiguation(col: str = "title") -> Column:
     return F.col(col).contains("(disambiguation)")
 
 
+def after(yyyymmdd: str, ts: str = "ts") -> Column:
+    """Whether the date is strictly after ``yyyymmdd``: ``ts >= day + 1`` (a pushable range)."""
+    return F.col(ts) >= F.lit(dt.datetime.strptime(yyyymmdd, "%Y%m%d") + dt.timedelta(days=1))
+
+
 def filter_after(pages: DataFrame, yyyymmdd: str = "20010115", ts: str = "ts") -> DataFrame:
-    """Pages whose date is strictly after ``yyyymmdd``: ``ts >= day + 1`` (a pushable range)."""
-    d = dt.datetime.strptime(yyyymmdd, "%Y%m%d") + dt.timedelta(days=1)
-    return pages.where(F.col(ts) >= F.lit(d))
+    """Pages whose date is strictly after ``yyyymmdd``."""
+    return pages.where(after(yyyymmdd, ts))
 
 
 def titles_table(pages: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import sinks as S
 from ..sources.dump import scan_dump
 from ..sources.fixtures import Tables, with_views
+from ..streaming.ingest import IngestState, stream_ingest
 from .q_relational import _LABEL_CASE, _RANK_CASE
 from .registry import register
 
@@ -289,3 +290,42 @@ def s1_dump_scan(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark)}/dump-{uuid.uuid4().hex}"
     _page_xml(Tables(spark, sf_dir).documents).write.text(path)
     return scan_dump(spark, path).select("id", "title", "redirect", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"), "problem")
+
+
+_R1_PAGES = """
+    select cast(p_partkey as bigint) id, 0 ns, concat('Part_', cast(p_partkey as string)) title, cast(null as string) redirect,
+      coalesce(t, '') raw_text, if(p_partkey % 3 = 0, 2, 1) batch
+    from {part} left join (select id, array_join(transform(array_sort(collect_list(category_id - 1000000000)),
+      s -> concat('[[Category:Supplier ', cast(s as string), ']]')), ' ') t from {w_categories} group by id) c on id = p_partkey
+    union all select 1300000000 + p_partkey, 1, concat('Talk:Part_', cast(p_partkey as string)), null,
+      concat('{{{{WikiProject Parts|class=', quality, '|importance=', importance, '}}}}'), if(p_partkey % 2 = 0, 0, 2)
+    from {part} join {w_quality} q on q.id = p_partkey join {w_importance} i on i.id = p_partkey where p_partkey % 9 <> 0
+    union all select 1000000000 + s_suppkey, 14, concat('Category:Supplier_', cast(s_suppkey as string)), null, '', s_suppkey % 3
+    from {supplier} where s_suppkey % 7 <> 0
+    union all select 1400000000 + p_partkey, 0, concat('Alias_', cast(p_partkey as string)), concat('Part_', cast(p_partkey as string)), '', 0
+    from {part} where p_partkey % 10 = 0"""
+
+
+@register("r1_stream_ingest", with_views("""
+    select p_partkey id, 'Part_' || p_partkey title, coalesce(c.names, 'NONE') categories,
+      case when p_partkey % 9 = 0 then 'N/A' else quality end quality, case when p_partkey % 9 = 0 then 'N/A' else importance end importance
+    from part join w_quality q on q.id = p_partkey join w_importance i on i.id = p_partkey
+    left join (select id, string_agg('Category:Supplier_' || (category_id - 1000000000), ' | ' order by category_id) names
+      from w_categories where (category_id - 1000000000) % 7 <> 0 group by id) c on c.id = p_partkey""",
+          "w_quality", "w_importance", "w_categories"))
+def r1_stream_ingest(spark, sf_dir):
+    """Part articles ingested by a file stream of three batches: talk and category pages before and after their articles."""
+    t = Tables(spark, sf_dir)
+    views = {n: t.view(n) for n in ("w_categories", "w_quality", "w_importance")}
+    pages = spark.sql(_R1_PAGES, part=t.part, supplier=t.supplier, **views)
+    base = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    ts = F.lit("2010-01-01 00:00:00").cast("timestamp")
+    state = IngestState(spark, f"{base}/state", buckets=8)
+    for k in range(3):  # files arrive, the stream goes on where it ended
+        pages.where(F.col("batch") == k).select("id", "ns", "title", "redirect", ts.alias("ts"), "raw_text") \
+            .write.parquet(f"{base}/pages/batch{k}")
+        stream = stream_ingest(spark, f"{base}/pages/*", state, f"{base}/checkpoint")
+        stream.awaitTermination()
+        if stream.exception():
+            raise stream.exception()
+    return state.articles().select("id", "title", "categories", "quality", "importance")

@@ -87,15 +87,20 @@ def articles_projection(titles: DataFrame, pages: DataFrame | None = None, *, ca
             out.withColumn(name, F.lit(None).cast("array<string>"))
     for df, c in ((quality, "quality"), (importance, "importance")):
         out = out.join(df.select("id", c), "id", "left") if df is not None else out.withColumn(c, F.lit(None))
-    return out.select(
-        "id", _escape(F.col("title")).alias("title"),
-        _multi(F.col("_cats")).alias("categories"),
-        _multi(F.col("_doms")).alias("cited_domains"),
-        _multi(F.col("_auths")).alias("cited_authors"),
+    return out.select("id", *article_columns("_cats", "_doms", "_auths", now))
+
+
+def article_columns(categories: str, domains: str, authors: str, now: Column) -> list[Column]:
+    """Columns of an ``articles`` row after its id, from title, the three lists, quality and importance."""
+    return [
+        _escape(F.col("title")).alias("title"),
+        _multi(F.col(categories)).alias("categories"),
+        _multi(F.col(domains)).alias("cited_domains"),
+        _multi(F.col(authors)).alias("cited_authors"),
         F.coalesce(F.col("quality").cast("string"), F.lit("N/A")).alias("quality"),
         F.coalesce(F.col("importance").cast("string"), F.lit("N/A")).alias("importance"),
         now.alias("created_at"), now.alias("updated_at"),
-        _escape(F.replace(F.col("title"), F.lit(" "), F.lit("_"))).alias("slug"))
+        _escape(F.replace(F.col("title"), F.lit(" "), F.lit("_"))).alias("slug")]
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:

@@ -10,7 +10,6 @@ from encyclo.sources import sinks as S
 from encyclo.sources import tsv as T
 from encyclo.sources.dump import read_dump
 from encyclo.sources.taxonomy import parse_taxonomy_lines, read_taxonomy
-from encyclo.streaming.ingest import stream_ingest
 
 
 def _write(path, text):
@@ -83,29 +82,6 @@ def test_sinks_round_trip(spark, tmp_path):
     assert S.latest_version(["m/model_2020-01-01_10-00-00", "m/model_2021-05-01_09-00-00"]).endswith("2021-05-01_09-00-00")
 
 
-def test_stream_ingest_equals_batch_and_is_idempotent(spark, tmp_path):
-    pages = read_dump(spark, os.path.join(FIXTURES, "mini_dump.xml"))
-    titles = build_tables(pages)["titles"]
-    src = tmp_path / "incoming"
-    pages.where(F.col("id") < 20).write.parquet(str(src / "part1"))
-    pages.where(F.col("id") >= 20).write.parquet(str(src / "part2"))
-    out = str(tmp_path / "articles")
-    ck = str(tmp_path / "ck")
-    q = stream_ingest(spark, str(src) + "/*", titles, out, ck)
-    q.awaitTermination(120)
-    got = spark.read.parquet(out)
-    batch = S.articles_projection(titles, pages, **{k: v for k, v in build_tables(pages, cutoff=None).items()
-                                                    if k in ("categories", "domains", "authors", "quality",
-                                                             "importance")})
-    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in batch.collect())
-    cols = ["id", "title", "categories", "cited_domains", "cited_authors", "quality", "importance", "slug"]
-    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in batch.select(*cols).collect())
-    # a replay writes nothing new
-    q2 = stream_ingest(spark, str(src) + "/*", titles, out, str(tmp_path / "ck2"))
-    q2.awaitTermination(120)
-    assert spark.read.parquet(out).count() == got.count()
-
-
 def test_read_compressed_dump(spark, tmp_path):
     import bz2
     src = os.path.join(FIXTURES, "mini_dump.xml")
