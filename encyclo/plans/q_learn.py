@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..operators import corpus as K
+from ..operators import embeddings as E
 from ..operators import learn as L
+from ..operators import topics as TM
 from ..operators import vectors as VO
 from ..operators.tagmatch import tag_match
 from ..sources.fixtures import Tables, with_views
@@ -283,16 +285,16 @@ def m11_score_documents(spark, sf_dir):
 
 @register("v1_word2vec")
 def v1_word2vec(spark, sf_dir):
+    """Word vectors of all words that occur three times, trained with their parameters in blocks."""
     tok = K.tokens(Tables(spark, sf_dir).w_text)
-    model = L.train_embeddings(tok, vector_size=32, window=8, min_count=3, max_iter=1)
-    return model.getVectors().select("word", F.size(L.vector_to_array("vector")).alias("dim"))
+    return E.train(tok, size=32, window=8, min_count=3, sample=1e-4, epochs=1)
 
 
 @register("m14_topics")
 def m14_topics(spark, sf_dir):
+    """The ten most probable words of five topics, sampled over the whole vocabulary."""
     tok = K.tokens(Tables(spark, sf_dir).w_text)
-    lda, vocab = L.topics(tok, k=5, max_iter=5)
-    return lda.describeTopics(10)
+    return TM.fit(tok, k=5, rounds=10).describe(10)
 
 
 @register("m12_score_words")

@@ -68,6 +68,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def stored(df, name: str, by: str | None = None):
+    """Write ``df`` as Parquet under the checkpoint folder (a folder per value of ``by``).
+
+    Returns the table as stored, which prunes columns and partitions, and a
+    function that deletes it."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    spark = df.sparkSession
+
+    def drop() -> None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
 def reliable_checkpoint(df):
     """``df.checkpoint()`` into the cluster's checkpoint folder (set up first
     when the session has none, as in tests).  Never a local checkpoint."""
