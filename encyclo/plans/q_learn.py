@@ -287,7 +287,7 @@ def m11_score_documents(spark, sf_dir):
 def v1_word2vec(spark, sf_dir):
     """Word vectors of all words that occur three times, trained with their parameters in blocks."""
     tok = K.tokens(Tables(spark, sf_dir).w_text)
-    return E.train(tok, size=32, window=8, min_count=3, sample=1e-4, epochs=1)
+    return E.train(tok, size=32, window=8, min_count=3, sample=1e-5, epochs=1)
 
 
 @register("m14_topics")

@@ -75,8 +75,8 @@ def stored(df, name: str, by: str | None = None):
     function that deletes it."""
     import uuid
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     spark = df.sparkSession
 
     def drop() -> None:
@@ -86,6 +86,14 @@ def stored(df, name: str, by: str | None = None):
     return spark.read.schema(df.schema).parquet(path), drop
 
 
+def drop_unused_shuffles(spark) -> None:
+    """Have the cleaner delete shuffle files of finished rounds: it acts on what the
+    driver's collector finds unreachable, which by itself runs every half hour."""
+    import gc
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def reliable_checkpoint(df):
     """``df.checkpoint()`` into the cluster's checkpoint folder (set up first
     when the session has none, as in tests).  Never a local checkpoint."""
