@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.indexing import dense_index
 from ..plans.joins import broadcast_bounded
+from ..session import reliable_checkpoint
 
 
 def category_sizes(categories: DataFrame) -> DataFrame:
@@ -72,9 +74,9 @@ def compile_categories(categories: DataFrame, titles: DataFrame, n: int = 20000)
 
 
 def category_children(parents: DataFrame) -> DataFrame:
-    """(child_id, parent_id) -> (category_id, n_children), most children first.
+    """(child_id, parent_id) -> (category_id, n_children), in no order.
 
-    The member list itself stays the edge table; no per-parent list is built.
+    The lists themselves, ordered by their length, are ``paged_lists``.
     """
     return (parents.groupBy(F.col("parent_id").alias("category_id"))
             .agg(F.count(F.lit(1)).alias("n_children")))
@@ -94,3 +96,20 @@ def list_stats(edges: DataFrame, key: str, name: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_items"),
     ).select("list_name", "n_keys", "n_items",
              F.round(F.col("n_items") / F.col("n_keys"), 6).alias("mean_len"))
+
+
+def paged_lists(edges: DataFrame, key: str, item: str, page_size: int = 1000) -> DataFrame:
+    """Adjacency lists in pages, longest lists first: (rank, key, n_items, page, items).
+
+    ``rank`` orders the keys by number of distinct items, descending, then by key; page 0, 1, ...
+    hold ``page_size`` items each in ascending order (the last one what is left).  Positions come
+    from buckets of the sort order, so a key with any share of the edges is dealt out
+    over its pages and no row is longer than a page.
+    """
+    e = edges.select(key, item).where(F.col(key).isNotNull() & F.col(item).isNotNull()).distinct()
+    placed = reliable_checkpoint(dense_index(reliable_checkpoint(e), [key, item], "_pos"))
+    sizes = placed.groupBy(key).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("n_items"))
+    ranked = dense_index(reliable_checkpoint(sizes), ["n_items", key], "rank", descending=("n_items",))
+    return (placed.join(ranked, key)
+            .groupBy("rank", key, "n_items", F.floor((F.col("_pos") - F.col("_first")) / page_size).cast("int").alias("page"))
+            .agg(F.array_sort(F.collect_list(item)).alias("items")))

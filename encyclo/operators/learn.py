@@ -13,7 +13,6 @@ from itertools import chain
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest)
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -25,9 +24,7 @@ from ..plans.indexing import dense_index
 
 # Label maps of the classification tasks.
 QUALITY_CLASSES = {"fa": 0, "a": 0, "ga": 0, "bplus": 0, "b": 1, "c": 2, "stub": 2}   # good/mediocre/poor
-QUALITY_CLASS_NAMES = ["good", "mediocre", "poor"]
 IMPORTANCE_CLASSES = {"top": 0, "high": 1, "mid": 2, "low": 3}
-IMPORTANCE_CLASS_NAMES = ["top", "high", "mid", "low"]
 
 
 def label_map(col, mapping: dict) -> Column:
@@ -49,6 +46,7 @@ def unanimous_label(assign: DataFrame, id_col: str = "id", label_col: str = "lab
 
 
 def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
+    """(label, n); rows without a class are counted under the null label."""
     return df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -56,12 +54,17 @@ def class_lengths(df: DataFrame, tokens_col: str = "tokens", label_col: str = "l
     return df.groupBy(label_col).agg(F.round(F.avg(F.size(tokens_col)), 6).alias("mean_len"))
 
 
-def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
+def class_weights(df: DataFrame, label_col: str = "label", classes: DataFrame | None = None) -> DataFrame:
     """Largest class count / class count; the largest count is a scalar
-    subquery over the per-class counts (one row per class)."""
+    subquery over the per-class counts (one row per class).  With ``classes`` (one
+    column, the label) every one has a row: an absent class has n 0 and weight 1."""
     c = class_counts(df, label_col)
     top = c.select(F.max("n")).scalar()
-    return c.select(label_col, "n", F.round(top / F.col("n"), 6).alias("weight"))
+    weighed = c.select(label_col, "n", F.round(top / F.col("n"), 6).alias("weight"))
+    if classes is None:
+        return weighed
+    return classes.select(label_col).distinct().join(weighed, label_col, "left").select(
+        label_col, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
 
 
 def cap_per_class(df: DataFrame, k: int, label_col: str = "label", order_col: str = "id") -> DataFrame:
@@ -123,29 +126,33 @@ def features(df: DataFrame, vec_col: str = "embedding", out: str = "features") -
 def train_classifier(train: DataFrame, kind: str = "logistic", label_col: str = "label",
                      features_col: str = "features", n_classes: int | None = None, seed: int = 7,
                      max_iter: int = 50):
-    """Fit 'logistic', 'ovr' (one-vs-rest logistic), 'mlp' (hidden 100,50,20) or
-    'stacked' (one-vs-rest probabilities -> MLP(3,3) -> logistic)."""
+    """Fit 'logistic', 'ovr' (one-vs-rest logistic), 'mlp' (hidden 100,50,20,5), 'doc_mlp' (64,64) or
+    'stacked' (one-vs-rest scores -> MLP(3,3) -> logistic on the network's probabilities)."""
+    return _estimator(train, kind, label_col, features_col, n_classes, seed, max_iter).fit(train)
+
+
+def _estimator(train: DataFrame, kind: str, label_col: str, features_col: str, n_classes: int | None, seed: int, max_iter: int):
     if kind == "logistic":
-        return LogisticRegression(featuresCol=features_col, labelCol=label_col, maxIter=max_iter).fit(train)
+        return LogisticRegression(featuresCol=features_col, labelCol=label_col, maxIter=max_iter)
+    one_vs_rest = OneVsRest(classifier=LogisticRegression(maxIter=max_iter), featuresCol=features_col,
+                            labelCol=label_col, parallelism=4)
     if kind == "ovr":
-        return OneVsRest(classifier=LogisticRegression(maxIter=max_iter), featuresCol=features_col,
-                         labelCol=label_col, parallelism=4).fit(train)
+        return one_vs_rest
+    k = int(n_classes or train.select(F.max(label_col)).first()[0] + 1)
     if kind in ("mlp", "doc_mlp"):
         dim = len(train.select(features_col).first()[0])
-        k = n_classes or train.select(F.max(label_col)).first()[0] + 1
-        hidden = [100, 50, 20] if kind == "mlp" else [64, 64]
+        hidden = [100, 50, 20, 5] if kind == "mlp" else [64, 64]
         return MultilayerPerceptronClassifier(featuresCol=features_col, labelCol=label_col,
-                                              layers=[dim, *hidden, k], maxIter=max_iter, seed=seed).fit(train)
+                                              layers=[dim, *hidden, k], maxIter=max_iter, seed=seed)
     if kind == "stacked":
-        k = n_classes or train.select(F.max(label_col)).first()[0] + 1
-        lr1 = LogisticRegression(featuresCol=features_col, labelCol=label_col, maxIter=max_iter,
-                                 probabilityCol="p1", rawPredictionCol="r1", predictionCol="y1")
-        mlp = MultilayerPerceptronClassifier(featuresCol="p1", labelCol=label_col, layers=[k, 3, 3, k],
+        # one-vs-rest reads its classifier's raw column under the name of its own
+        first = OneVsRest(classifier=LogisticRegression(maxIter=max_iter, rawPredictionCol="r1"), featuresCol=features_col,
+                          labelCol=label_col, rawPredictionCol="r1", predictionCol="y1", parallelism=4)
+        mlp = MultilayerPerceptronClassifier(featuresCol="r1", labelCol=label_col, layers=[k, 3, 3, k],
                                              maxIter=max_iter, seed=seed, probabilityCol="p2",
                                              rawPredictionCol="r2", predictionCol="y2")
-        asm = VectorAssembler(inputCols=["p1", "p2"], outputCol="stack")
-        lr2 = LogisticRegression(featuresCol="stack", labelCol=label_col, maxIter=max_iter)
-        return Pipeline(stages=[lr1, mlp, asm, lr2]).fit(train)
+        last = LogisticRegression(featuresCol="p2", labelCol=label_col, maxIter=max_iter)
+        return Pipeline(stages=[first, mlp, last])
     raise ValueError(kind)
 
 
@@ -195,10 +202,10 @@ def fold_scores(pred: DataFrame, fold_col: str = "fold", label_col: str = "label
 
 
 def cross_validate(train: DataFrame, kind: str = "logistic", folds: int = 5, label_col: str = "label",
-                   features_col: str = "features", seed: int = 7):
-    """k-fold cross validation on the training data; returns the fitted CrossValidatorModel."""
-    est = LogisticRegression(featuresCol=features_col, labelCol=label_col, maxIter=50)
-    grid = ParamGridBuilder().addGrid(est.regParam, [0.0]).build()
+                   features_col: str = "features", seed: int = 7, n_classes: int | None = None, max_iter: int = 50):
+    """k-fold cross validation of any ``kind`` on the training data; returns the fitted CrossValidatorModel."""
+    est = _estimator(train, kind, label_col, features_col, n_classes, seed, max_iter)
+    grid = ParamGridBuilder().build()
     ev = MulticlassClassificationEvaluator(labelCol=label_col, metricName="accuracy")
     return CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
                           seed=seed, parallelism=2).fit(train)

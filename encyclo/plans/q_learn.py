@@ -8,7 +8,9 @@ from ..functions.text import tokenize
 from ..operators import corpus as K
 from ..operators import embeddings as E
 from ..operators import learn as L
+from ..operators import textpipe as TP
 from ..operators import topics as TM
+from ..operators.epochs import train_epochs
 from ..operators import vectors as VO
 from ..operators.tagmatch import tag_match
 from ..sources.fixtures import Tables, with_views
@@ -319,3 +321,18 @@ def m9_training_log(spark, sf_dir):
     """Loss per iteration of the logistic model on the training split of the vectors."""
     train, _ = _split_features(spark, sf_dir)
     return L.training_log(L.train_classifier(train, "logistic", max_iter=30))
+
+
+@register("m9_epoch_log")
+def m9_epoch_log(spark, sf_dir):
+    """Metrics by epoch and iteration of a network trained on the vectors until its validation loss rises."""
+    train, val = _split_features(spark, sf_dir)
+    return train_epochs(train, val, "doc_mlp", epochs=4, iterations=5, n_classes=10).log
+
+
+@register("m8_quality_task")
+def m8_quality_task(spark, sf_dir):
+    """The quality of all labelled documents from their text: the confusion matrix of the held-out fifth."""
+    t = Tables(spark, sf_dir)
+    labels = t.labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("label")).where("label is not null")
+    return TP.run_task(t.w_text, labels, 2, size=32, window=5, sample=1e-4, max_iter=20)["confusion"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import markup as M
@@ -178,6 +179,24 @@ def s13_links_tsv(spark, sf_dir):
     return S.to_tsv_lines(S.keyed_lists(t.w_links))
 
 
+_TABBED = "case when id % 7 = 0 then concat(title, chr(9), 'tab', chr(10), 'line') else title end"
+
+
+@register("t2_sorted_export", with_views("""
+    select cast(id as bigint) id, case when id % 7 = 0 then title || ' tab line' else title end title, true in_range from w_titles""", "w_titles"))
+def t2_sorted_export(spark, sf_dir):
+    """All titles exported as sorted part files and read back: every line within the keys that the
+    manifest states for its file, every file after the one before."""
+    t = Tables(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    manifest = S.export_sorted(t.w_titles.select("id", F.expr(_TABBED).alias("title")), path, "id")
+    w = Window.orderBy("file")  # one row a part file
+    ranges = manifest.select("file", "first_key", "last_key", F.coalesce(F.lag("last_key").over(w) <= F.col("first_key"), F.lit(True)).alias("after"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\t").alias("f"))
+    return (lines.where(F.size("f") == 2).select("file", F.col("f")[0].cast("long").alias("id"), F.col("f")[1].alias("title")).join(ranges, "file")
+            .select("id", "title", (F.col("after") & F.col("id").between(F.col("first_key"), F.col("last_key"))).alias("in_range")))
+
+
 # Wiki text derived from the tables: one page per order, one link and one
 # category tag per line item, in line order.  Extraction must give back the
 # line items: the link/category parsers run over whole pages at table scale.

@@ -171,6 +171,19 @@ def a6_category_children(spark, sf_dir):
     return C.category_children(t.w_category_parents)
 
 
+@register("t8_category_pages", with_views("""
+    select rank, category_id, n_items, page, list(id order by id) as items from (
+      select e.category_id, id, n_items, r.rank,
+        cast(floor((row_number() over (partition by e.category_id order by id) - 1) / 100) as integer) page
+      from (select distinct category_id, id from w_categories) e join (
+        select category_id, count(distinct id) n_items, row_number() over (order by count(distinct id) desc, category_id) - 1 as rank
+        from w_categories group by category_id) r on r.category_id = e.category_id) x
+    group by rank, category_id, n_items, page""", "w_categories"))
+def t8_category_pages(spark, sf_dir):
+    """Members of all categories in pages of 100, the largest category first."""
+    return C.paged_lists(Tables(spark, sf_dir).w_categories, "category_id", "id", page_size=100)
+
+
 @register("a10_list_stats", with_views("""
     select 'links' as list_name, count(distinct id) as n_keys, count(*) as n_items,
            round(count(*) / count(distinct id), 6) as mean_len from w_links

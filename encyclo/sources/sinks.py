@@ -30,16 +30,38 @@ def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
 
 
 def to_tsv_lines(df: DataFrame) -> DataFrame:
-    """One text line per row, fields joined by tabs; arrays joined by spaces."""
+    """One text line per row, fields joined by tabs; arrays joined by spaces.  Tabs and line
+    breaks inside a field become spaces, so a row stays a line."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if f.dataType.typeName() == "array":
             c = F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-        cols.append(F.coalesce(c.cast("string"), F.lit("")))
+        c = c.cast("string")
+        if f.dataType.typeName() in ("string", "array"):
+            c = F.translate(c, "\t\n\r", "   ")
+        cols.append(F.coalesce(c, F.lit("")))
     return df.select(F.concat_ws("\t", *cols).alias("value"))
 
 
+def export_sorted(df: DataFrame, path: str, key: str, partitions: int | None = None) -> DataFrame:
+    """Write ``df`` as text lines sorted by ``key``, its first column, and return the manifest.
+
+    Rows are range-partitioned and sorted inside each part: the part files, read in the order
+    of their names, are one sorted table, and no task sorts more than its range.  The
+    manifest is read back from the files: (file, n_rows, first_key, last_key); it is stored
+    as JSON under ``path``/_manifest, where readers of the lines do not see it.
+    """
+    spark, kind = df.sparkSession, df.schema[key].dataType
+    df = df.select(key, *[c for c in df.columns if c != key])
+    parts = df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)
+    to_tsv_lines(parts.sortWithinPartitions(key)).write.mode("overwrite").text(path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\t")[0].cast(kind).alias("k"))
+    manifest = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/_manifest")
+    return spark.read.schema(manifest.schema).json(f"{path.rstrip('/')}/_manifest")
+
+
 def keyed_lists(edges: DataFrame, key: str = "id", item: str = "link_id", pos: str = "pos") -> DataFrame:
     """Edge table -> (key, items array) in position order (one article's own list)."""
     return (edges.groupBy(key)
