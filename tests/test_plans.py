@@ -21,6 +21,8 @@ BOUNDED_SINGLE_PARTITION = {
     "a18_argmax_label": "class vectors scalar subquery",
     "a10_list_stats": "global aggregates (one row)",
     "v13_analogy_accuracy": "global aggregate (one row)",
+    "t2_sorted_export": "order of the manifest, one row a part file",
+    "t8_category_pages": "dense_index of at most rows_per_bucket rows, counted first",
 }
 
 
