@@ -294,7 +294,14 @@ def v1_word2vec(spark, sf_dir):
 
 @register("m14_topics")
 def m14_topics(spark, sf_dir):
-    """The ten most probable words of five topics, sampled over the whole vocabulary."""
+    tok = K.tokens(Tables(spark, sf_dir).w_text)
+    lda, vocab = L.topics(tok, k=5, max_iter=5)
+    return lda.describeTopics(10)
+
+
+@register("m14_topic_sampler")
+def m14_topic_sampler(spark, sf_dir):
+    """The ten most probable words of five topics, sampled over the whole vocabulary without it on the driver."""
     tok = K.tokens(Tables(spark, sf_dir).w_text)
     return TM.fit(tok, k=5, rounds=10).describe(10)
 
