@@ -224,6 +224,57 @@ def test_compact_windows():
         assert got == want
 
 
+def test_paired_windows():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(rng.integers(0, 40))
+        one, two = (rng.integers(0, 30, n).astype(np.uint64) for _ in range(2))
+        length = int(rng.integers(1, 20))
+        off = np.array([0, *np.sort(rng.integers(0, n + 1, 2)), n])
+        reach = [{c: (l, r) for l, c, r in zip(*(x.tolist() for x in passages.compact_windows(v, off, length)))} for v in (one, two)]
+        centres = {(i + int(one[i:i + length].argmin()), i + int(two[i:i + length].argmin()))
+                   for a, b in zip(off[:-1], off[1:]) for i in range(a, b - length + 1)}
+        got = list(zip(*(x.tolist() for x in passages.paired_windows(one, two, off, length))))
+        assert len(got) == len(centres) and {x[1:3] for x in got} == centres
+        for l, c, d, r in got:
+            (p, q), (u, v) = reach[0][c], reach[1][d]
+            assert (l, r) == (min(p, u), max(q, v))
+
+
+def test_passages_recall(spark):
+    """Exact and near copies (one or two words of 50 to 60 changed, similarity 0.8 or more, the first
+    and the last five words kept: a passage begins and ends with a shared shingle) between other words, against the planted places; documents that share only a line of 12 words have none."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghinorst") for _ in range(8))
+    some = lambda n: [word() for _ in range(n)]
+    line, rows, planted = some(12), [], {}
+    sets = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    while len(planted) < 200:
+        passage = some(rng.randrange(50, 61))
+        copy = list(passage)
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(5, len(copy) - 5)] = word()
+        a, b = sets(passage), sets(copy)
+        if len(a & b) < 0.8 * len(a | b):
+            continue
+        k, before = 2 * len(planted), rng.randrange(40)
+        rows += [(k, " ".join(some(rng.randrange(40)) + passage + some(20))), (k + 1, " ".join(some(before) + copy + some(30)))]
+        planted[k + 1] = (before, before + len(copy), copy == passage)
+    rows += [(1000 + k, " ".join(some(60) + line + some(60))) for k in range(150)]
+    got = {r.id: r for r in passages.spans_by_document(passages.duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert set(got) <= set(planted) and all(got[k].originals == [k - 1] for k in got)
+    inside = lambda k, a, b: sum(max(0, min(b, y) - max(a, x)) for x, y in zip(got[k].spans[::2], got[k].spans[1::2])) if k in got else 0
+    assert all(inside(k, a, b) == b - a for k, (a, b, same) in planted.items() if same)
+    near = [inside(k, a, b) >= 0.9 * (b - a) - 5 for k, (a, b, same) in planted.items() if not same]
+    assert len(near) > 40 and sum(near) >= 0.95 * len(near)
+
+
+def test_passages_of_one_short_text(spark):
+    for n in (0, 4, 14, 49):
+        docs = spark.createDataFrame([(1, " ".join(str(k) for k in range(n)))], "doc_id long, text string")
+        assert passages.duplicate_spans(docs).count() == 0
+
+
 @pytest.mark.parametrize("hot", [passages.HOT_IN_SAMPLE, 2])
 def test_passages(spark, docs, rows, empty, monkeypatch, hot):
     monkeypatch.setattr(passages, "HOT_IN_SAMPLE", hot)
