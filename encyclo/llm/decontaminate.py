@@ -43,18 +43,26 @@ STATE = T.StructType([
 
 
 class WuManber:
-    """Search table for patterns (tuples of word numbers) of one length."""
+    """Search for patterns (tuples of word numbers) of one length, by its shift table and buckets.
 
-    def __init__(self, patterns: dict[tuple, list], length: int):
-        self.length, self.block = length, min(2, length)
+    The tables are plain dictionaries: these are what goes out to the tasks.
+    """
+
+    def __init__(self, length: int, shift: dict, bucket: dict):
+        self.length, self.block, self.shift, self.bucket = length, min(2, length), shift, bucket
         self.default = length - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = {}
+
+    @staticmethod
+    def tables(patterns: dict[tuple, list], length: int) -> tuple[int, dict, dict]:
+        block = min(2, length)
+        shift: dict = {}
+        bucket: dict = {}
         for p, owners in patterns.items():
-            for end in range(self.block, length + 1):
-                b = p[end - self.block:end]
-                self.shift[b] = min(self.shift.get(b, self.default), length - end)
-            self.bucket.setdefault(p[-self.block:], {}).setdefault(p[0], []).append((p, owners))
+            for end in range(block, length + 1):
+                b = p[end - block:end]
+                shift[b] = min(shift.get(b, length - block + 1), length - end)
+            bucket.setdefault(p[-block:], {}).setdefault(p[0], []).append((p, owners))
+        return length, shift, bucket
 
     def find(self, words: tuple):
         """(start, owners) of every occurrence of a pattern in ``words``."""
@@ -106,7 +114,7 @@ def search_tables(block: list):
     for words, item in block:
         p = tuple(vocabulary.setdefault(w, len(vocabulary)) for w in words)
         by_length.setdefault(len(p), {}).setdefault(p, []).append(item)
-    return list(vocabulary), [WuManber(p, m) for m, p in sorted(by_length.items())]
+    return list(vocabulary), [WuManber.tables(p, m) for m, p in sorted(by_length.items())]
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
@@ -126,6 +134,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def search(batch, tables=tables, first=first):
             vocabulary, searches = tables.value
+            searches = [WuManber(*t) for t in searches]
             w = Words(batch.column(batch.schema.get_field_index(text_col)), alnum_map())
             if vocabulary:
                 codes = pc.index_in(w.arrow(), value_set=pa.array(vocabulary, pa.large_binary()))

@@ -183,10 +183,11 @@ RESULT = T.StructType([
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` plus lang_pred, score and spans (ranges of words, with their language)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers
+    # languages x BUCKETS numbers; plain values, since a broadcast class needs the package on the workers
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_prob, model.uses_script, model.penalty))
 
     def run(batch):
-        m = shared.value
+        m = Model(*shared.value)
         words, codes, off = words_of(batch.column(batch.schema.get_field_index(text_col)))
         n = batch.num_rows
         if not m.languages or not len(codes):
