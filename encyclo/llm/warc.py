@@ -90,8 +90,8 @@ def responses(pages: DataFrame, url_col: str = "url", html_col: str = "html", id
 
 def http_parts(block: Column) -> tuple[Column, Column]:
     """HTTP header lines and body of a response block (without an empty line: all headers, no body)."""
-    at = F.instr(F.hex(block), "0D0A0D0A")  # even offsets only: a header never holds a carriage return of its own
-    cut = F.when(at > 0, (at + 1) / 2).otherwise(F.octet_length(block) + 1).cast("int")
+    at = F.instr(F.decode(block, "ISO-8859-1"), "\r\n\r\n")  # a character per byte
+    cut = F.when(at > 0, at).otherwise(F.octet_length(block) + 1)
     return (F.decode(F.substring(block, F.lit(1), cut - 1), "UTF-8"),
             F.substring(block, cut + 4, F.greatest(F.octet_length(block) - cut - 3, F.lit(0))))
 

@@ -190,3 +190,48 @@ def test_entry_registers_all():
     names = set(entry.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
     assert {"op1_decontaminate", "op6_warc"} <= set(entry.oracle_sql())
+
+
+def test_http_parts_of_raw_utf8_headers(spark):
+    rows = [("HTTP/1.1 200 OK\r\nX: РРа".encode() + b"\r\n\r\n" + "<p>é\r\n\r\nb".encode(),), (b"no end",), (b"\r\n\r\n",), (b"",), (None,)]
+    head, body = warc.http_parts(F.col("block"))
+    got = spark.createDataFrame(rows, "block binary").select(head.alias("head"), body.alias("body")).collect()
+    assert [(r.head, None if r.body is None else bytes(r.body)) for r in got] == [
+        ("HTTP/1.1 200 OK\r\nX: РРа", "<p>é\r\n\r\nb".encode()), ("no end", b""), ("", b""), ("", b""), (None, None)]
+
+
+WITHOUT_PACKAGE = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+
+def missing(batches):
+    import importlib.util
+    for b in batches:
+        yield b.set_column(0, "id", b.column(0)) if importlib.util.find_spec("encyclo") is None else b.slice(0, 0)
+
+assert spark.range(3).mapInArrow(missing, "id long").count() == 3
+sys.path.insert(0, ROOT)
+from encyclo.llm import decontaminate, langid
+words = " ".join(f"w{k}" for k in range(30))
+docs = spark.createDataFrame([(1, words, "en"), (2, "der die das und", "de"), (3, None, None)], "doc_id long, text string, lang string")
+benchmark = spark.createDataFrame([(7, words[3:70])], "item_id long, text string")
+found = decontaminate.verdict(decontaminate.mark(docs, benchmark)).orderBy("doc_id").collect()
+assert [r.contaminated for r in found] == [True, False, False], found
+said = langid.predict(docs, langid.train(docs)).orderBy("doc_id").collect()
+assert [r.lang_pred for r in said] == ["en", "de", "und"], said
+print("done")
+"""
+
+
+def test_workers_without_the_package(tmp_path):
+    """The driver has the package, its workers cannot import it."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    script = tmp_path / "job.py"
+    script.write_text(f"ROOT = {root!r}\n" + WITHOUT_PACKAGE)
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.endswith("done\n"), done.stderr[-3000:]
