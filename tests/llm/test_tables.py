@@ -188,7 +188,7 @@ def test_pipeline(spark, tmp_path):
 def test_entry_registers_all():
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert {"op1_decontaminate", "op6_warc"} <= set(entry.oracle_sql())
 
 
