@@ -2,14 +2,16 @@
 
 Exact top-k without a cross join
 --------------------------------
-Queries and candidates are hashed into blocks of about ``block_rows`` rows.
-Every query row is replicated to each candidate block (``explode(sequence)``,
-a narrow step) and every candidate row to each query block; a cogroup on
-``(query_block, candidate_block)`` hands one block pair to a vectorized numpy
-kernel that computes the score matrix with one matrix product and emits only
-the top-k per query.  A final ``row_number() <= k`` (planned with a partial
-WindowGroupLimit) merges the per-block lists.  No task ever holds more than
-two blocks, whatever the key distribution; pairs are never emitted as rows.
+Queries and candidates are hashed into blocks of at most ``BLOCK_ROWS`` rows (and
+``BLOCK_BYTES`` bytes of vectors).  Every query row is replicated to each candidate
+block (``explode(sequence)``, a narrow step) and every candidate row to each query
+block; a cogroup on ``(query_block, candidate_block)`` hands one block pair to a
+numpy kernel.  The kernel goes through the pair in tiles: a matrix product in single
+precision leaves out the pairs that cannot reach the k best found so far, by more than
+its rounding error; the others are scored in double precision.  Only the top-k per
+query of a block pair are emitted.  A final ``row_number() <= k`` (planned with a
+partial WindowGroupLimit) merges the per-block lists.  No task ever holds more than
+two blocks and a tile, whatever the key distribution; pairs are never emitted as rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -31,89 +33,194 @@ _OUT = T.StructType([T.StructField("qid", T.LongType()), T.StructField("cid", T.
                      T.StructField("score", T.DoubleType())])
 
 
-def _mat(series: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=np.float64) for v in series], dtype=np.float64)
-
-
-def _cos_matrix(Q: np.ndarray, C: np.ndarray, cn: np.ndarray) -> np.ndarray:
-    qn = np.linalg.norm(Q, axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return (Q @ C.T) / (qn[:, None] * cn[None, :])
+BLOCK_ROWS = 65_536
+BLOCK_BYTES = 64 << 20  # vectors of one block, eight bytes a component
+LEAST_BLOCKS, SMALL_BLOCK = 4, 2048  # blocks a side for the sake of tasks, unless they hold fewer rows
+TILE_QUERIES, TILE_CANDIDATES, FIRST_TILE = 256, 4096, 256  # the first tile only sets a bar for the others
+RESCORED = 1 << 16  # pairs scored in double precision at once
+
+
+def _mat(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """List column as a matrix in double precision; null components are NaN."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = len(flat) // max(len(column), 1)
+    if len(column) and (np.diff(column.offsets.to_numpy()) != width).any():
+        raise ValueError("vectors of different lengths")
+    return flat.reshape(len(column), width)
+
+
+def _unit(M: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms, and the rows by their norms in single precision (NaN for zero or non-finite rows)."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        n = np.sqrt((M * M).sum(axis=1))
+        return n, (M / n[:, None]).astype(np.float32)
+
+
+class _Best:
+    """The k best (score, smaller id first) candidates of each query so far."""
+
+    def __init__(self, n: int, k: int):
+        self.score, self.cid, self.k = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64), k
+
+    @property
+    def least(self) -> np.ndarray:
+        return self.score[:, -1]
+
+    def add(self, row: np.ndarray, cid: np.ndarray, score: np.ndarray) -> None:
+        ok = np.isfinite(score)
+        row, cid, score = row[ok], cid[ok], score[ok]
+        if not len(row):
+            return
+        hit = np.unique(row)
+        old = np.isfinite(self.score[hit])
+        row = np.concatenate([np.repeat(hit, old.sum(1)), row])
+        cid = np.concatenate([self.cid[hit][old], cid])
+        score = np.concatenate([self.score[hit][old], score])
+        order = np.lexsort((cid, -score, row))
+        row, cid, score = row[order], cid[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < self.k
+        self.score[hit], self.cid[hit] = -np.inf, -1
+        self.score[row[keep], rank[keep]], self.cid[row[keep], rank[keep]] = score[keep], cid[keep]
+
+
+def _search(terms: list[np.ndarray], signs: tuple[int, ...] | None, C: np.ndarray, cid: np.ndarray, k: int, eps: float,
+            exclude: list | None) -> _Best:
+    """Best candidates of queries with one vector (cosine) or with ``terms`` of the given ``signs`` (3CosMul)."""
+    n, best = len(terms[0]), _Best(len(terms[0]), k)
+    cn, cu = _unit(C)
+    units = [_unit(t) for t in terms]
+    # a cosine in single precision is off by less than this
+    off = (C.shape[1] + 8) * 2.0 ** -23
+    if signs is not None:
+        # half of (1 + cosine) straight from the matrix product
+        cu = np.concatenate([cu, np.ones((len(cu), 1), np.float32)], axis=1)
+        units = [(m, np.concatenate([u * np.float32(0.5), np.full((len(u), 1), 0.5, np.float32)], axis=1)) for m, u in units]
+    plus = [j for j in range(len(terms)) if signs is None or signs[j] > 0]
+    minus = [j for j in range(len(terms)) if signs is not None and signs[j] < 0]
+    more, less = 2 * off * len(plus), 2 * off * len(minus)
+    cut = signs is None or eps > 4 * less  # else the quotient is too steep for single precision
+
+    def exact(cos) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if signs is None:
+                s = cos(0)
+            else:
+                num = den = 1.0
+                for j in plus:
+                    num = num * ((1.0 + cos(j)) / 2.0)
+                for j in minus:
+                    den = den * ((1.0 + cos(j)) / 2.0)
+                s = num / (den + eps)
+        return np.round(s, ROUND)
+
+    def pairs(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return exact(lambda j: np.einsum("ij,ij->i", terms[j][r], C[c]) / (units[j][0][r] * cn[c]))
+
+    def tile(q0: int, q1: int, c0: int, c1: int) -> np.ndarray:
+        return exact(lambda j: (terms[j][q0:q1] @ C[c0:c1].T) / (units[j][0][q0:q1, None] * cn[None, c0:c1]))
+
+    place = {v: i for i, v in enumerate(cid.tolist())}
+    for q0 in range(0, n, TILE_QUERIES):
+        q1 = min(q0 + TILE_QUERIES, n)
+        left_out = {(r, place[e]) for r, ids in enumerate([] if exclude is None else exclude[q0:q1])
+                    for e in ids or () if e in place}
+        out = np.array(sorted(left_out, key=lambda x: x[1]), np.int64).reshape(-1, 2)
+        cuts = [0, *range(min(FIRST_TILE, len(cid)), len(cid), TILE_CANDIDATES), len(cid)]
+        for c0, c1 in zip(cuts, cuts[1:]):
+            gone = out[np.searchsorted(out[:, 1], c0):np.searchsorted(out[:, 1], c1)]
+            least = best.least[q0:q1]
+            r = None
+            if cut and c0:
+                bar = (least - 2.1 * 10.0 ** -ROUND).astype(np.float32)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    up = units[plus[0]][1][q0:q1] @ cu[c0:c1].T if plus else np.ones((q1 - q0, c1 - c0), np.float32)
+                    for j in plus[1:]:
+                        up *= units[j][1][q0:q1] @ cu[c0:c1].T
+                    if signs is None:
+                        mask = up >= (bar - np.float32(2 * off))[:, None]
+                    else:
+                        down = units[minus[0]][1][q0:q1] @ cu[c0:c1].T if minus else np.ones((q1 - q0, c1 - c0), np.float32)
+                        for j in minus[1:]:
+                            down *= units[j][1][q0:q1] @ cu[c0:c1].T
+                        # score >= bar, with the numerator and denominator moved by their errors
+                        bar = np.where(bar > 0, bar * np.float32(1 - 1e-6), np.float32(-np.inf))
+                        down += np.float32(eps - less)
+                        down *= bar[:, None]
+                        down -= np.float32(more)
+                        mask = up >= down
+                mask[gone[:, 0], gone[:, 1] - c0] = False
+                if np.count_nonzero(mask) <= mask.size // 50:
+                    r, c = np.divmod(np.flatnonzero(mask), c1 - c0)
+                    for i in range(0, len(r), RESCORED):
+                        rr, cc = r[i:i + RESCORED] + q0, c[i:i + RESCORED] + c0
+                        best.add(rr, cid[cc], pairs(rr, cc))
+            if r is None:
+                S = tile(q0, q1, c0, c1)
+                S[~np.isfinite(S)] = -np.inf
+                S[gone[:, 0], gone[:, 1] - c0] = -np.inf
+                bar = best.least[q0:q1]
+                if k < S.shape[1]:
+                    bar = np.maximum(bar, np.partition(S, S.shape[1] - k, axis=1)[:, S.shape[1] - k])
+                for i in range(q1 - q0):  # a row at a time: equal scores may be many
+                    c = np.flatnonzero(np.isfinite(S[i]) & (S[i] >= bar[i]))
+                    if len(c):
+                        best.add(np.full(len(c), q0 + i), cid[c0:c1][c], S[i][c])
+    return best
 
 
 def _kernel(mode: str, k: int, eps: float):
-    def run(_key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"),
-                                 "score": pd.Series(dtype="float64")})
-        C = _mat(c["vec"])
-        cn = np.linalg.norm(C, axis=1)
-        cid = c["cid"].to_numpy(dtype=np.int64)
-        qid = q["qid"].to_numpy(dtype=np.int64)
-        if mode == "cosine":
-            S = _cos_matrix(_mat(q["vec"]), C, cn)
-        else:  # cosmul over signed terms
-            terms = list(q["terms"])
-            signs = list(q["signs"])
-            width = max(len(t) for t in terms)
-            dim = C.shape[1]
-            num = np.ones((len(q), len(cid)))
-            den = np.ones((len(q), len(cid)))
-            for j in range(width):
-                Vj = np.zeros((len(q), dim))
-                sj = np.zeros(len(q))
-                for r, (t, s) in enumerate(zip(terms, signs)):
-                    if j < len(t):
-                        Vj[r] = np.asarray(t[j], dtype=np.float64)
-                        sj[r] = s[j]
-                f = (1.0 + _cos_matrix(Vj, C, cn)) / 2.0
-                num = np.where((sj > 0)[:, None], num * f, num)
-                den = np.where((sj < 0)[:, None], den * f, den)
-            S = num / (den + eps)
-        S = np.round(S, ROUND)
-        S[~np.isfinite(S)] = -np.inf
-        if "exclude" in q.columns:
-            pos = {v: i for i, v in enumerate(cid)}
-            for r, ex in enumerate(q["exclude"]):
-                if ex is None:
-                    continue
-                for e in ex:
-                    j = pos.get(int(e))
-                    if j is not None:
-                        S[r, j] = -np.inf
-        out_q, out_c, out_s = [], [], []
-        kk = min(k, S.shape[1])
-        for r in range(S.shape[0]):
-            row = S[r]
-            if kk < row.size:
-                kth = np.partition(row, row.size - kk)[row.size - kk]
-                idx = np.nonzero(row >= kth)[0]
-            else:
-                idx = np.arange(row.size)
-            idx = idx[np.isfinite(row[idx])]
-            order = np.lexsort((cid[idx], -row[idx]))[:kk]
-            sel = idx[order]
-            out_q.append(np.full(sel.size, qid[r], dtype=np.int64))
-            out_c.append(cid[sel])
-            out_s.append(row[sel])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
-                             "score": np.concatenate(out_s)})
+    def run(_key, q: pa.Table, c: pa.Table) -> pa.Table:
+        found = []
+        if q.num_rows and c.num_rows:
+            C, cid = _mat(c["vec"]), c["cid"].to_numpy()
+            if mode == "cosine":
+                groups = {None: np.arange(q.num_rows)}
+            else:  # cosmul: queries of equal signs together
+                groups = {}
+                for i, s in enumerate(q["signs"].to_pylist()):
+                    groups.setdefault(tuple(s), []).append(i)
+            for signs, rows in groups.items():
+                part = q if signs is None else q.take(pa.array(rows))
+                qid = part["qid"].to_numpy()
+                if signs is None:
+                    terms = [_mat(part["vec"])]
+                else:
+                    every = _mat(part["terms"].combine_chunks().flatten())
+                    terms = [np.ascontiguousarray(every[j::len(signs)]) for j in range(len(signs))]
+                best = _search(terms, signs, C, cid, k, eps, part["exclude"].to_pylist() if "exclude" in part.column_names else None)
+                r, at = np.nonzero(np.isfinite(best.score))
+                found.append((qid[r], best.cid[r, at], best.score[r, at]))
+        cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, t)
+                for i, t in enumerate((np.int64, np.int64, np.float64))]
+        return pa.table(dict(zip(_OUT.names, cols)))
     return run
 
 
+def _blocks(n: int, width: int, block_rows: int | None) -> int:
+    if block_rows is None:
+        block_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(width, 1))))
+        return max(math.ceil(n / block_rows), min(LEAST_BLOCKS, math.ceil(n / SMALL_BLOCK)), 1)
+    return max(1, math.ceil(n / block_rows))
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, mode: str = "cosine",
-          eps: float = 1e-3, block_rows: int = 2048) -> DataFrame:
+          eps: float = 1e-3, block_rows: int | None = None) -> DataFrame:
     """Exact top-k candidates per query: (qid, cid, score, rank).
 
     ``queries``: ``qid`` plus ``vec`` (mode 'cosine') or ``terms``/``signs``
     (mode 'cosmul'), optional ``exclude`` (array of candidate ids).
     ``candidates``: ``cid, vec``.  Scores are rounded to 6 digits; ties go to
-    the smaller candidate id.
+    the smaller candidate id.  ``block_rows``: rows a block, by default as many
+    as ``BLOCK_ROWS`` and ``BLOCK_BYTES`` allow.
     """
-    nq = max(queries.count(), 1)
-    nc = max(candidates.count(), 1)
-    bq = max(1, math.ceil(nq / block_rows))
-    bc = max(1, math.ceil(nc / block_rows))
+    nc, width = candidates.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    if mode == "cosine":
+        nq, terms = queries.count(), 1
+    else:
+        nq, terms = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("terms")), F.lit(1))).first()
+    bq, bc = _blocks(nq, width * max(terms, 1), block_rows), _blocks(nc, width, block_rows)
     qcols = [c for c in ("qid", "vec", "terms", "signs", "exclude") if c in queries.columns]
     # fresh attribute ids on both sides: they often derive from the same table
     q = (queries.select(*[F.col(x).alias(x) for x in qcols])
@@ -125,7 +232,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, mode: str = "cos
     # both sides must group on identically typed keys, or the cogroup pairs
     # different hash partitions
     part = (q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb"))
-            .applyInPandas(_kernel(mode, k, eps), schema=_OUT))
+            .applyInArrow(_kernel(mode, k, eps), schema=_OUT))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("cid"))
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -135,7 +242,7 @@ def _vecs(vectors: DataFrame, id_col: str, vec_col: str, as_: str = "cid") -> Da
 
 
 def similar_articles(vectors: DataFrame, k: int = 10, id_col: str = "vec_id",
-                     vec_col: str = "embedding", block_rows: int = 2048,
+                     vec_col: str = "embedding", block_rows: int | None = None,
                      query_ids: DataFrame | None = None, candidate_ids: DataFrame | None = None) -> DataFrame:
     """All-pairs: the k most similar other articles of every article:
     (id, neighbor_id, rank, similarity).
