@@ -1,18 +1,24 @@
 """Shortest paths over a weighted edge table, many (source, target) pairs at once.
 
-Frontier relaxation (parallel Bellman-Ford): state ``(qid, node, cost, path)``;
-each round joins only the nodes improved in the previous round with their
-out-edges, keeps the best candidate per ``(qid, node)`` and keeps those that
-beat the known cost.  Branch and bound: once a query's target has a cost,
-candidates at or above it are dropped (edge costs are >= 0, so they cannot
-lead to a cheaper path).  The loop ends when no state improves.  Lineage is
-cut every round with a reliable ``checkpoint()`` (``spark.checkpoint.dir``),
-so a lost executor recomputes at most one round.
+The exact search goes from both ends of every pair (``_meet``).  A row of its state is
+a node of a pair with the cheapest known way from the source and the cheapest known way
+to the target, so a node with both is a path.  Each round the side with fewer open
+nodes expands those within one mean edge cost of its cheapest.  With ``top`` the cost of
+the cheapest open node of a side and ``mu`` the best path's, a pair is finished when
+``top + top' >= mu`` (edge costs are >= 0, so no path can be cheaper), or when a side
+has no open node left: then all it can reach is known.  Finished pairs leave the state.
+A pair costs two balls of half the path's cost instead of one of the whole, and an
+unreachable one the smaller of both sides.  Every round's state is stored under
+``spark.checkpoint.dir`` and the last one deleted, so a lost executor repeats at most
+one round and no more than two states are on disk.
 
 ``beam``/``heuristic_weight`` turn the search into a weighted A*-like beam
 search (f = g + w * (1 - cos(node, goal)), best ``beam`` nodes per query per
-round) -- faster, not exact; the exact search is its yardstick.  Pairs that end
-without a path are searched again with a wider beam, until nothing was pruned.
+round) -- faster, not exact; the exact search is its yardstick.  It is a frontier
+relaxation from the source: state ``(qid, node, cost, path)``, and candidates at or
+above the target's cost are dropped once it has one.  Pairs without any path are
+found first, by both ends; pairs that end without a path are searched again with a
+wider beam, until nothing was pruned.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import ensure_checkpoint_dir, reliable_checkpoint
+from ..session import drop_unused_shuffles, ensure_checkpoint_dir, reliable_checkpoint, stored
 
 WIDEN = 4
 
@@ -33,8 +39,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None
     """``edges(src, dst, cost)``, ``pairs(qid, source, target)`` ->
     ``(qid, source, target, cost, hops, path)``; unreachable pairs are absent.
 
-    The state holds up to (queries x reachable nodes) rows.  With
-    ``pairs_per_batch`` the pairs are hashed into batches of about that many
+    The state holds the balls of half a path's cost around both ends of the pairs at
+    work.  With ``pairs_per_batch`` the pairs are hashed into batches of about that many
     queries; each batch runs the relaxation on its own (bounded state) and its
     result is checkpointed before the next batch starts.
     """
@@ -57,7 +63,12 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None
 def _search(edges: DataFrame, pairs: DataFrame, *, beam: int | None, **kw) -> DataFrame:
     """One batch of pairs; those a beam leaves without a path get one ``WIDEN`` times as wide."""
     if beam is None:
+        if kw["max_rounds"] is None:
+            return _meet(edges, pairs)
         return _relax(edges, pairs, beam=None, **kw)[0]
+    if kw["max_rounds"] is None:
+        some = _meet(edges, pairs, any_path=True).select("qid").distinct()
+        pairs = reliable_checkpoint(pairs.join(some, "qid", "left_semi"))
     out = None
     while True:
         found, pruned = _relax(edges, pairs, beam=beam, **kw)
@@ -71,6 +82,94 @@ def _search(edges: DataFrame, pairs: DataFrame, *, beam: int | None, **kw) -> Da
         beam *= WIDEN
 
 
+PAIR = ["source", "target"]
+
+
+def _meet(edges: DataFrame, pairs: DataFrame, any_path: bool = False) -> DataFrame:
+    """The search from both ends; with ``any_path`` a pair is finished with its first path, cheapest or not.
+
+    Equal costs go to the path with fewer hops, then to the smaller one."""
+    spark = edges.sparkSession
+    e = edges.select("src", "dst", F.col("cost").cast("double").alias("w"))
+    legs = (e.select(F.lit(False).alias("back"), F.col("src").alias("node"), F.col("dst").alias("next"), "w")
+            .unionByName(e.select(F.lit(True).alias("back"), F.col("dst").alias("node"), F.col("src").alias("next"), "w"))
+            .groupBy("back", "node", "next").agg(F.min("w").alias("w")))
+    legs, drop_legs = stored(legs, "path-legs")
+    step = legs.agg(F.avg("w")).first()[0] or 0.0
+    asked = pairs.where(F.col("qid").isNotNull()).select(*PAIR).distinct().where("source is not null and target is not null")
+    node_type = asked.schema["source"].dataType.simpleString()
+    # cost, nodes, path; on the way to the target also its edges' costs, to sum from the source on
+    there, back = f"struct<c:double,n:int,p:array<{node_type}>>", f"struct<c:double,n:int,p:array<{node_type}>,w:array<double>>"
+
+    def merged(rows: DataFrame) -> DataFrame:
+        """One row a pair and node from known ones (``of``, ``ob``: still open) and new ones (``of``, ``ob`` null)."""
+        m = rows.groupBy(*PAIR, "node").agg(
+            F.min("f").alias("f"), F.min("b").alias("b"), F.max("limit").alias("limit"),
+            *[x for k in "fb" for x in (F.max(F.when(F.col(f"o{k}").isNotNull(), F.col(f"{k}.c"))).alias(f"_{k}"),
+                                        F.max(f"o{k}").alias(f"_o{k}"))])
+        better = {k: F.col(f"{k}").isNotNull() & (F.col(f"_{k}").isNull() | (F.col(f"{k}.c") < F.col(f"_{k}"))) for k in "fb"}
+        # a new node that the other side has not reached is at least its cheapest open node's cost away from its end
+        useful = (F.col("limit").isNull() | (F.col("f").isNotNull() & F.col("b").isNotNull()) | F.col("_f").isNotNull()
+                  | F.col("_b").isNotNull() | (F.coalesce("f.c", "b.c") < F.col("limit")))
+        return m.where(useful).select(*PAIR, "node", "f", "b", *[
+            F.when(F.col(k).isNotNull(), better[k] | F.coalesce(f"_o{k}", F.lit(False))).alias(f"o{k}") for k in "fb"])
+
+    no = {k: F.lit(None).cast(t) for k, t in (("f", there), ("b", back), ("limit", "double"), ("open", "boolean"))}
+    start = (asked.select(*PAIR, F.col("source").alias("node"),
+                          F.struct(F.lit(0.0).alias("c"), F.lit(1).alias("n"), F.array("source").alias("p")).cast(there).alias("f"),
+                          no["b"].alias("b"), no["limit"].alias("limit"), no["open"].alias("of"), no["open"].alias("ob"))
+             .unionByName(asked.select(*PAIR, F.col("target").alias("node"), no["f"].alias("f"),
+                                       F.struct(F.lit(0.0).alias("c"), F.lit(1).alias("n"), F.array("target").alias("p"),
+                                                F.array().cast("array<double>").alias("w")).cast(back).alias("b"),
+                                       no["limit"].alias("limit"), no["open"].alias("of"), no["open"].alias("ob"))))
+    state, drop = stored(merged(start), "path-state")
+    done = []
+    while True:
+        # the whole path's cost summed from the source on, as a search from there does
+        total = F.aggregate("b.w", F.col("f.c"), lambda s, w: s + w)
+        whole = F.when(F.col("f").isNotNull() & F.col("b").isNotNull(), F.struct(
+            total.alias("cost"), (F.col("f.n") + F.col("b.n") - 2).alias("hops"),
+            F.concat("f.p", F.slice("b.p", 2, F.greatest(F.col("b.n") - 1, F.lit(0)))).alias("path")))
+        now, drop_now = stored(state.groupBy(*PAIR).agg(
+            F.min(F.when(F.col("of"), F.col("f.c"))).alias("tf"), F.min(F.when(F.col("ob"), F.col("b.c"))).alias("tb"),
+            F.count(F.when(F.col("of"), 1)).alias("nf"), F.count(F.when(F.col("ob"), 1)).alias("nb"), F.min(whole).alias("best")), "path-now")
+        more = F.col("best").isNull() if any_path else F.col("best").isNull() | (F.col("tf") + F.col("tb") < F.col("best.cost"))
+        active = F.coalesce(F.col("tf").isNotNull() & F.col("tb").isNotNull() & more, F.lit(False))
+        done.append(reliable_checkpoint(now.where(~active & F.col("best").isNotNull()).select(*PAIR, "best.*")))
+        todo = now.where(active).select(*PAIR, "tf", "tb", (F.col("nb") < F.col("nf")).alias("back"), F.col("best.cost").alias("mu"))
+        if todo.isEmpty():
+            break
+        live = state.join(todo, PAIR)
+        left = F.coalesce("mu", F.lit(float("inf")))
+        out = {"f": ~F.col("back") & F.col("of") & (F.col("f.c") <= F.col("tf") + step) & (F.col("f.c") + F.col("tb") < left),
+               "b": F.col("back") & F.col("ob") & (F.col("b.c") <= F.col("tb") + step) & (F.col("b.c") + F.col("tf") < left)}
+        out = {k: F.coalesce(v, F.lit(False)) for k, v in out.items()}
+        known = live.select(*PAIR, "node", "f", "b", no["limit"].alias("limit"),
+                            (F.col("of") & ~out["f"]).alias("of"), (F.col("ob") & ~out["b"]).alias("ob"))
+        at = F.when(F.col("back"), F.col("b.c")).otherwise(F.col("f.c")) + F.col("w")
+        new = (live.where(out["f"] | out["b"]).join(legs, ["back", "node"]).where(at < left)
+               .select(*PAIR, F.col("next").alias("node"),
+                       F.when(~F.col("back"), F.struct(at.alias("c"), (F.col("f.n") + 1).alias("n"),
+                                                       F.concat("f.p", F.array("next")).alias("p"))).cast(there).alias("f"),
+                       F.when(F.col("back"), F.struct(at.alias("c"), (F.col("b.n") + 1).alias("n"), F.concat(F.array("next"), "b.p").alias("p"),
+                                                      F.concat(F.array("w"), "b.w").alias("w"))).cast(back).alias("b"),
+                       (left - F.when(F.col("back"), F.col("tf")).otherwise(F.col("tb"))).alias("limit"),
+                       no["open"].alias("of"), no["open"].alias("ob")))
+        following, drop_following = stored(merged(known.unionByName(new)), "path-state")
+        drop()
+        drop_now()
+        state, drop = following, drop_following
+        drop_unused_shuffles(spark)
+    drop()
+    drop_now()
+    drop_legs()
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    return (pairs.where(F.col("qid").isNotNull()).join(found, PAIR)
+            .select("qid", "source", "target", "cost", "hops", "path"))
+
+
 def _relax(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None, vectors: DataFrame | None,
            heuristic_weight: float, beam: int | None, id_col: str, vec_col: str) -> tuple[DataFrame, bool]:
     """The frontier relaxation itself, and whether the beam left out a node."""
