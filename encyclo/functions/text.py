@@ -6,7 +6,9 @@ Each helper takes and returns a ``Column``; none calls Python per row.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,17 @@ def remove_between(c, open_tag: str, close_tags, max_gap: int | None = None) ->
     return F.regexp_replace(_c(c), f"(?s){_q(open_tag)}{body}(?:{alt})", "")
 
 
+def by_text(fn: Callable[[str], str]):
+    """A string UDF that calls ``fn`` on every text that is not null.  Texts become Python strings
+    64 at a time, so a worker holds a batch's Arrow buffers and little else."""
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        made = [pa.array([None if t is None else fn(t) for t in texts.slice(at, 64).to_pylist()], pa.string())
+                for at in range(0, len(texts), 64)]
+        return pa.concat_arrays(made) if made else pa.array([], pa.string())
+    return run
+
+
 def without_pairs(text: str, target: str) -> str:
     """Fix-point of removing the two-character ``target`` from ``text``."""
     kept: list[str] = []
@@ -69,9 +82,7 @@ def remove_target(c, target: str) -> Column:
     if len(target) == 2 and target[0] != target[1]:
         # an opening/closing pair: a removal can join a new pair, as in '(())',
         # to any depth; one pass with a stack of openings, only where a pair is
-        @F.pandas_udf("string")
-        def unpaired(s):
-            return s.map(lambda t: without_pairs(t, target), na_action="ignore")
+        unpaired = by_text(lambda t: without_pairs(t, target))
         c = _c(c)
         has = c.contains(target)
         return F.when(has, unpaired(F.when(has, c))).otherwise(c)
