@@ -34,9 +34,15 @@ def ancestors(parents: DataFrame, max_depth: int = 3, checkpoint_every: int = 4)
 
 
 def deepen_categories(categories: DataFrame, anc: DataFrame) -> DataFrame:
-    """Article categories plus their ancestors: (id, category_id, depth), depth 0 = direct."""
-    direct = categories.select("id", "category_id", F.lit(0).alias("depth")).distinct()
-    up = (categories.select("id", F.col("category_id").alias("_c"))
-          .join(anc.select(F.col("category_id").alias("_c"), "ancestor_id", "depth"), "_c", "inner")
-          .select("id", F.col("ancestor_id").alias("category_id"), "depth"))
-    return direct.unionByName(up).groupBy("id", "category_id").agg(F.min("depth").alias("depth"))
+    """Article categories plus their ancestors: (id, category_id, depth), depth 0 = direct.
+
+    The ancestors of a category come as one row, so article categories are read and joined
+    once.  Rows are dealt before they are grouped, over all shuffle partitions: adaptive
+    coalescing goes by compressed bytes and puts millions of these short rows into one hash table."""
+    above = anc.groupBy("category_id").agg(F.collect_list(F.struct("ancestor_id", "depth")).alias("_a"))
+    itself = F.array(F.struct(F.col("category_id").alias("ancestor_id"), F.lit(0).alias("depth")))
+    rows = (categories.select("id", "category_id").join(above, "category_id", "left")
+            .select("id", F.explode(F.when(F.col("_a").isNull(), itself).otherwise(F.concat(itself, "_a"))).alias("_a"))
+            .select("id", F.col("_a.ancestor_id").alias("category_id"), F.col("_a.depth").alias("depth")))
+    parts = int(categories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "id", "category_id").groupBy("id", "category_id").agg(F.min("depth").alias("depth"))
