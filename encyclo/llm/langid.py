@@ -34,6 +34,7 @@ from .common import map_batches, slices
 
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0
+SLICE_BYTES = 2 << 20  # of text at once: as words and scores it takes some thirty times that, in every worker
 SCRIPT_SHARE = 0.001  # of a language's words, for the script to be one of its own
 UNKNOWN = "und"
 
@@ -102,7 +103,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     """Model of all rows of ``docs`` that have a language."""
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             words, codes, off = words_of(batch.column(0))
             if not len(codes):
                 continue
@@ -211,4 +212,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         return {"lang_pred": [m.languages[k] if t else UNKNOWN for k, t in zip(top, total)],
                 "score": np.where(total > 0, share.max(axis=1) / np.maximum(total, 1), 0.0), "spans": spans}
 
-    return map_batches(docs, run, RESULT, keep)
+    return map_batches(docs, run, RESULT, keep, SLICE_BYTES)

@@ -3,7 +3,10 @@
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from encyclo.llm import langid
+from encyclo.llm.common import map_batches
 from encyclo.operators import corpus as K
 from encyclo.operators import embeddings as E
 from encyclo.operators import topics as TM
@@ -100,3 +103,11 @@ def test_vectors_of_dealt_texts_are_those_of_the_scan(spark, tmp_path, monkeypat
         assert pairs > 1
     finally:
         back()
+
+
+def test_language_batches_are_small(spark):
+    """pipeline: a worker splits two megabytes of text at once, whatever Arrow hands it."""
+    df = spark.range(0, 400, numPartitions=1).select("id", F.repeat(F.lit("word "), 4000).alias("text"))
+    out = T.StructType([T.StructField("rows", T.LongType())])
+    sizes = map_batches(df, lambda b: {"rows": [b.num_rows] * b.num_rows}, out, ["id"], langid.SLICE_BYTES).collect()
+    assert len(sizes) == 400 and max(r.rows for r in sizes) <= 110
