@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..operators import quality as Q
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from ..sources import sinks as S
 from ..sources.dump import scan_dump
 from ..sources.fixtures import Tables, with_views
@@ -340,6 +340,7 @@ def r1_stream_ingest(spark, sf_dir):
     base = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     ts = F.lit("2010-01-01 00:00:00").cast("timestamp")
     state = IngestState(spark, f"{base}/state", buckets=8)
+    pages, drop = stored(pages, "ingest-pages", by="batch")  # made once, not once a batch
     for k in range(3):  # files arrive, the stream goes on where it ended
         pages.where(F.col("batch") == k).select("id", "ns", "title", "redirect", ts.alias("ts"), "raw_text") \
             .write.parquet(f"{base}/pages/batch{k}")
@@ -347,4 +348,5 @@ def r1_stream_ingest(spark, sf_dir):
         stream.awaitTermination()
         if stream.exception():
             raise stream.exception()
+    drop()
     return state.articles().select("id", "title", "categories", "quality", "importance")

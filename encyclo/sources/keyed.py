@@ -122,11 +122,12 @@ class KeyedTable:
 
     # -- writing --------------------------------------------------------
     def _write(self, rows: DataFrame, number: int) -> list[str]:
-        """Write rows by bucket as commit ``number``; returns the buckets that got a file."""
+        """Write rows by bucket as commit ``number``; returns the buckets that got a file.  A large
+        bucket is dealt to several tasks, a file each, so that few buckets do not mean few tasks."""
         out = f"data/v={number}"
         self._fs.delete(self._place(out), True)  # what an attempt without a commit has left
         (rows.select(*self.schema.names, self._bucket().alias("bucket"))
-         .repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{out}"))
+         .hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{out}"))
         return [n[7:] for n in self._names(out) if n.startswith("bucket=")]
 
     def append(self, rows: DataFrame, batch: Batch) -> None:
