@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, map_batches, ragged, stage, white_space_map
+from .common import Words, map_batches, ragged, release, stage, white_space_map
 from .components import components, merge_labels
 
 SHINGLE = 4
@@ -41,6 +41,7 @@ MAX_BITS = 4
 FINE_FROM = 1 << 24
 GROUP_ROWS = 8192
 BUFFER_ROWS = 1 << 19
+SLICE_BYTES = 2 << 20  # of text at once: as shingles it takes some forty times that, in every worker
 
 
 def fingerprints_of(words: Words, shingle: int) -> np.ndarray:
@@ -85,7 +86,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
     def run(batch):
         w = Words(batch.column(batch.schema.get_field_index(text_col)), white_space_map())
         return {"fp": fingerprints_of(w, shingle).view(np.int64)}
-    return map_batches(docs, run, T.StructType([T.StructField("fp", T.LongType())]), keep)
+    return map_batches(docs, run, T.StructType([T.StructField("fp", T.LongType())]), keep, SLICE_BYTES)
 
 
 def code_words(bits: int) -> np.ndarray:
@@ -216,6 +217,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS
             held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
         if rows:
             yield done([np.concatenate(c) for c in zip(*held)])
+        del held
+        release()
 
     return tiled.mapInArrow(compare, "a long, b long")
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from encyclo.llm import passages
+from encyclo.llm import langid, passages, simhash
 
 MB = 1 << 20
 
@@ -51,6 +51,16 @@ def test_windows_of_a_large_batch(texts):
     assert peak(passages.windows(Tasks(), hashes=2).fn(iter([texts]))) < 150
 
 
+def test_fingerprints_of_a_large_batch(texts, monkeypatch):
+    """pipeline: the shingles of all texts of a batch were made at once."""
+    made = []
+    monkeypatch.setattr(simhash, "map_batches", lambda df, fn, schema, keep, size=8 * MB: made.append((fn, size)))
+    simhash.fingerprints(Tasks(), keep=["id"])
+    (fn, size), = made
+    step = len(texts) * size // texts.nbytes
+    assert peak(fn(texts.slice(at, step)) for at in range(0, len(texts), step)) < 150
+
+
 def pair_rows(n: int, size: int = 400):
     """Batches of one document's pairs, each of it and an original that shares nothing."""
     rng = np.random.default_rng(5)
@@ -117,3 +127,20 @@ def test_groups_larger_than_the_buffer(spark, monkeypatch, rows_at_once):
     batch = pa.RecordBatch.from_arrays([pa.array(k), pa.array(range(50))], names=["k", "v"])
     list(passages.grouped(Frame(), ["k"], ["v"], note, "").fn(batch.slice(at, rows_at_once) for at in range(0, 50, rows_at_once)))
     assert seen == [(g, np.flatnonzero(k == g).tolist()) for g in (1, 2, 3, 4)]
+
+
+def test_language_id_hands_each_text_over_once(spark, monkeypatch):
+    """pipeline: the text went to the tasks twice, in the row and beside it."""
+    import corpus_pipeline
+    handed, predict = [], langid.predict
+    monkeypatch.setattr(langid, "predict", lambda docs, *a, **kw: handed.append(docs) or predict(docs, *a, **kw))
+    schema = "doc_id long, text string, lang string, score double, lang_pred string, _text string"
+    rows = [(1, "der hund und die katze", "de", 0.5, "x", "y"), (2, "the dog and the cat", "en", None, None, None),
+            (3, "the cat and the dog", None, 1.0, "z", ""), (4, "12 34", "en", 2.0, "", None), (5, None, "de", 3.0, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    out = corpus_pipeline.language_id(spark, docs, "")
+    # names that clash with the new columns stay
+    assert out.columns == docs.columns and out.schema == docs.schema
+    assert sorted(map(tuple, out.collect())) == [rows[0], rows[1], (3, rows[2][1], "en", 1.0, "z", "")]
+    text, = [c for c in handed[0].columns if c.lstrip("_") == "1"]
+    assert [t for _, t in handed[0].dtypes].count("string") == 4 and not any("struct" in t for _, t in handed[0].dtypes) and text
