@@ -12,7 +12,9 @@ Equal vectors collapse first.  Vectors are then dealt into tiles of
 whose centres are further apart than their radii and the threshold allow is
 skipped.  A task takes one tile and streams the others past it; links are
 counted in the task and leave it as stars of local classes, so a large group of
-near copies makes no large output.
+near copies makes no large output.  Pairs of tiles are multiplied in rounds of as many
+as there are tiles, so that the tiles on their way take twice the vectors at most; what
+a step has read is deleted.
 
 Vectors that are null, zero, or hold null or non-finite components link with
 nothing and are their own component, as are vectors of another length than the
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop_unused_shuffles, stored
 from .common import stage
 from .components import components, merge_labels
 
@@ -78,12 +81,18 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     v = F.col(vector_col).cast("array<double>")
     good = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
                       & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = stage(vectors.select(F.col(id_col).alias("id"), F.when(good, v).alias("v")), "vectors")
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
+    number = "float" if single else "double"  # as the table holds them; all sums are in double precision
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(good, v).alias("v"))
     # equal vectors are one; zero and negative zero are equal too
-    keyed = rows.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumn(
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumn(
         "k", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")).cast("binary"), 256)))
+    keyed, drop_keyed = stored(rows.withColumn("v", F.col("v").cast(f"array<{number}>")), "vectors")
     distinct = keyed.where("k is not null").groupBy("k").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("low"))
-    distinct = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
+    distinct, drop_distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
+    ids = stage(keyed.select("id", "k"), "vector-ids")
+    drop_keyed()
+    drop_unused_shuffles(spark)
     n = distinct.count()
     tiles = max(1, -(-n // tile_rows))
     sample = distinct.select("v").limit(PIVOTS).toPandas()["v"]  # pivots only shape the tiles
@@ -105,7 +114,9 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 order[at] += d * (PIVOTS + 1.0)
             yield pa.RecordBatch.from_arrays([b.column(0), flat, b.column(2), pa.array(order)], names=["node", "v", "n", "at"])
 
-    placed = stage(distinct.select("node", "v", "n").mapInArrow(nearest, "node long, v array<double>, n long, at double"), "placed")
+    placed, drop_placed = stored(distinct.select("node", "v", "n").mapInArrow(nearest, f"node long, v array<{number}>, n long, at double"), "placed")
+    named = stage(distinct.select("k", "node", "n", "low"), "vector-names")
+    drop_distinct()
     # tiles are ranges of the order; few distinct edges of a bounded summary
     edges = np.unique(np.array(placed.approxQuantile("at", [k / tiles for k in range(1, tiles)], 0.2 / tiles))) if tiles > 1 else np.zeros(0)
     cut = spark.sparkContext.broadcast(edges)
@@ -130,19 +141,22 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         size = np.diff(lists.offsets.to_numpy())
         for d in np.unique(size).tolist():
             at = np.flatnonzero(size == d)
-            x = unit_rows(lists.take(pa.array(at)).values.to_numpy().reshape(-1, d))
+            raw = np.ascontiguousarray(lists.take(pa.array(at)).values.to_numpy().reshape(-1, d))
+            x = unit_rows(raw.astype(np.float64))
             centre = x.mean(axis=0)
             norm = np.linalg.norm(centre)
             centre = centre / norm if norm > 0 else x[0]
             reach = float(np.arccos(np.clip((x @ centre).min() - SLACK, -1, 1)))
             out.append((f"{key[0].as_py()['tile']}/{key[0].as_py()['part']}/{d}", d, centre.tolist(), reach,
                         np.take(table.column("node").to_numpy(), at).tobytes(), np.take(table.column("n").to_numpy(), at).tobytes(),
-                        np.ascontiguousarray(x).tobytes()))
-        return pa.Table.from_pandas(pd.DataFrame(out, columns=["tile", "d", "centre", "reach", "nodes", "weights", "unit"]),
+                        raw.tobytes()))
+        return pa.Table.from_pandas(pd.DataFrame(out, columns=["tile", "d", "centre", "reach", "nodes", "weights", "vectors"]),
                                     preserve_index=False)
 
-    packed = stage(members.select("tile", "node", "n", "v").groupBy("tile").applyInArrow(
-        pack, "tile string, d long, centre array<double>, reach double, nodes binary, weights binary, unit binary"), "tiles")
+    packed, drop_packed = stored(members.select("tile", "node", "n", "v").groupBy("tile").applyInArrow(
+        pack, "tile string, d long, centre array<double>, reach double, nodes binary, weights binary, vectors binary"), "tiles")
+    drop_placed()
+    drop_unused_shuffles(spark)
     # pairs of tiles that can hold a link: centres within the radii and the threshold's angle
     summary = packed.select("tile", "d", "centre", "reach")
     left, right = summary.select(*[F.col(c).alias("l_" + c) for c in summary.columns]), summary
@@ -155,22 +169,25 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     pairs = (left.join(right, (left["l_d"] == right["d"]) & (left["_s"] == right["_r"]) & (left["l_tile"] <= right["tile"]))
              .where(angle - 1e-6 <= F.col("l_reach") + F.col("reach") + float(np.arccos(threshold)))
              .select("l_tile", F.col("tile").alias("r_tile")))
-    body = packed.select("tile", "d", "nodes", "weights", "unit")
-    both = (pairs.join(body.withColumnRenamed("tile", "l_tile"), "l_tile")
-            .join(body.select(F.col("tile").alias("r_tile"), F.col("nodes").alias("r_nodes"), F.col("weights").alias("r_weights"),
-                              F.col("unit").alias("r_unit")), "r_tile")
-            .repartition(max(n_tiles * (n_tiles + 1) // 2, 1), "l_tile", "r_tile"))
+    pairs = stage(pairs, "tile-pairs")
+    width = packed.count()
+    rounds = max(1, -(-pairs.count() // max(width, 1)))
+    pairs = pairs.withColumn("round", F.pmod(F.xxhash64("l_tile", "r_tile"), F.lit(rounds)))
+    body = packed.select("tile", "nodes", "weights", "vectors", "d")
 
     def multiply(batches):
+        before = None
         for b in batches:
             for k in range(b.num_rows):
                 row = {c: b.column(i)[k].as_py() for i, c in enumerate(b.schema.names)}
                 same = row["l_tile"] == row["r_tile"]
-                nx, ny = (np.frombuffer(row[c], np.int64) for c in ("nodes", "r_nodes"))
-                wx, wy = (np.frombuffer(row[c], np.int64) for c in ("weights", "r_weights"))
-                ux, uy = (np.frombuffer(row[c], np.float64).reshape(-1, row["d"]) for c in ("unit", "r_unit"))
-                qx = quantise(ux)
-                qy = qx if same else quantise(uy)
+                nodes, weights = (np.frombuffer(row[c], np.int64) for c in ("nodes", "weights"))
+                x = unit_rows(np.frombuffer(row["vectors"], np.float32 if single else np.float64).reshape(-1, row["d"]).astype(np.float64))
+                at, tile = (row["l_tile"], row["r_tile"]), (nodes, weights, x, quantise(x))
+                one, before = (tile if same else before and before[0] == at and before[1]), (at, tile)
+                if not one:
+                    continue
+                (nx, wx, ux, qx), (ny, wy, uy, qy) = one, tile
                 off = 0 if same else len(nx)
                 nodes = nx if same else np.concatenate([nx, ny])
                 count = np.zeros(len(nodes))
@@ -185,15 +202,26 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                         [pa.array(nodes[hit]), pa.array(nodes[labels[hit]]), pa.array(count[hit].astype(np.int64))],
                         names=["a", "b", "n"])
 
-    found = stage(both.mapInArrow(multiply, "a long, b long, n long"), "tile-links")
+    found = None
+    for r in range(rounds):
+        now = pairs.where(F.col("round") == r)
+        asked = (now.select(F.col("l_tile").alias("_t"), "l_tile", "r_tile", F.lit(0).alias("side"))
+                 .unionByName(now.where("l_tile <> r_tile").select(F.col("r_tile").alias("_t"), "l_tile", "r_tile", F.lit(1).alias("side"))))
+        # some two names a tile, so the tiles leave the scan only for their pairs
+        both = (body.join(F.broadcast(asked), F.col("tile") == F.col("_t")).drop("tile", "_t")
+                .repartition(max(width, 1), "l_tile", "r_tile").sortWithinPartitions("l_tile", "r_tile", "side"))
+        made = stage(both.mapInArrow(multiply, "a long, b long, n long"), "tile-links")
+        found = made if found is None else found.unionByName(made)
+        drop_unused_shuffles(spark)
+    drop_packed()
     part = components(found)
     degree = found.groupBy("a").agg(F.sum("n").alias("others"))
-    of = (distinct.select("k", "node", "n", "low").join(part.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left")
+    of = (named.join(part.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left")
           .join(degree, F.col("node") == F.col("a"), "left")
           .select("k", "low", F.coalesce("component", "node").alias("component"),
                   (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     low = of.groupBy("component").agg(F.min("low").alias("component_id"))
     of = of.join(low, "component").select(F.col("k").alias("_k"), "n_links", "component_id")
-    return (keyed.select("id", "k").join(of, F.col("k") == F.col("_k"), "left")
+    return (ids.join(of, F.col("k") == F.col("_k"), "left")
             .select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component_id", "id").alias("component_id")))
