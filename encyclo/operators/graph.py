@@ -19,6 +19,10 @@ relaxation from the source: state ``(qid, node, cost, path)``, and candidates at
 above the target's cost are dropped once it has one.  Pairs without any path are
 found first, by both ends; pairs that end without a path are searched again with a
 wider beam, until nothing was pruned.
+
+A graph of at most ``local_legs`` legs (an edge is one each way) is sent to the tasks
+instead, which run the same rounds pair by pair (``paths``); larger ones, ids that are no
+longs, costs that are null or NaN, and for the beam repeated ids go over the tables.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import paths
 from ..session import drop_unused_shuffles, ensure_checkpoint_dir, reliable_checkpoint, stored
 
 WIDEN = 4
@@ -35,7 +40,8 @@ WIDEN = 4
 def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None = None,
                    vectors: DataFrame | None = None, heuristic_weight: float = 0.0,
                    beam: int | None = None, id_col: str = "vec_id",
-                   vec_col: str = "embedding", pairs_per_batch: int | None = None) -> DataFrame:
+                   vec_col: str = "embedding", pairs_per_batch: int | None = None,
+                   local_legs: int = 0) -> DataFrame:
     """``edges(src, dst, cost)``, ``pairs(qid, source, target)`` ->
     ``(qid, source, target, cost, hops, path)``; unreachable pairs are absent.
 
@@ -46,6 +52,10 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, max_rounds: int | None
     """
     kw = dict(max_rounds=max_rounds, vectors=vectors, heuristic_weight=heuristic_weight, beam=beam,
               id_col=id_col, vec_col=vec_col)
+    if local_legs and max_rounds is None and pairs_per_batch is None:
+        local = _local(edges, pairs, legs=local_legs, **kw)
+        if local is not None:
+            return local
     if pairs_per_batch:
         n = pairs.count()
         batches = max(1, -(-n // pairs_per_batch))
@@ -83,6 +93,83 @@ def _search(edges: DataFrame, pairs: DataFrame, *, beam: int | None, **kw) -> Da
 
 
 PAIR = ["source", "target"]
+LOCAL_VECTORS = 16_000_000  # numbers of the vectors that tasks may hold for the beam
+
+
+def _legs(edges: DataFrame) -> DataFrame:
+    """Each edge once in either direction, at its least cost."""
+    e = edges.select("src", "dst", F.col("cost").cast("double").alias("w"))
+    return (e.select(F.lit(False).alias("back"), F.col("src").alias("node"), F.col("dst").alias("next"), "w")
+            .unionByName(e.select(F.lit(True).alias("back"), F.col("dst").alias("node"), F.col("src").alias("next"), "w"))
+            .groupBy("back", "node", "next").agg(F.min("w").alias("w")))
+
+
+def _local(edges: DataFrame, pairs: DataFrame, *, legs: int, vectors: DataFrame | None, heuristic_weight: float,
+           beam: int | None, id_col: str, vec_col: str, max_rounds: int | None) -> DataFrame | None:
+    """The paths of all pairs searched in the tasks, or None where the tables are needed."""
+    import numpy as np
+    import pyarrow as pa
+    spark = edges.sparkSession
+    types = [edges.schema[c].dataType for c in ("src", "dst")] + [pairs.schema[c].dataType for c in ("qid", *PAIR)]
+    if beam is not None:
+        if vectors is None or heuristic_weight <= 0:
+            return None
+        types.append(vectors.schema[id_col].dataType)
+    if any(t.simpleString() != "bigint" for t in types) or 2 * edges.count() > legs:
+        return None
+    bad = F.col("cost").cast("double")
+    if not edges.where(bad.isNull() | F.isnan(bad) | F.col("src").isNull() | F.col("dst").isNull()).isEmpty():
+        return None
+    whole = pairs.where("qid is not null and source is not null and target is not null")
+    goals = None
+    if beam is not None:
+        v = vectors.select(F.col(id_col).alias("i"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+        n, ids, least, most = v.agg(F.count("*"), F.count_distinct("i"), F.min(F.coalesce(F.size("v"), F.lit(-1))), F.max(F.size("v"))).first()
+        sound = F.coalesce(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
+        repeated = pairs.groupBy("qid").count().where("count > 1")
+        if (not n or n != ids or least != most or least < 1 or n * least > LOCAL_VECTORS or not v.where(~sound).isEmpty()
+                or not repeated.isEmpty()):
+            return None
+        rows = vectors.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).toArrow()
+        flat = rows.column("v").combine_chunks().flatten().to_numpy().reshape(n, least)
+        order = np.argsort(rows.column("i").to_numpy())
+        goals = rows.column("i").to_numpy()[order], flat[order], heuristic_weight
+    table, drop = stored(_legs(edges), "path-legs")
+    step = table.agg(F.avg("w")).first()[0] or 0.0
+    got = {c: x.to_numpy() for c, x in zip(table.columns, table.toArrow().columns)}
+    drop()
+    sides = [tuple(got[c][got["back"] == back] for c in ("node", "next", "w")) for back in (False, True)]
+    sent = spark.sparkContext.broadcast((sides, goals))
+
+    def search(batches):
+        (ahead, behind), goals = [paths.Legs(*s) for s in sent.value[0]], sent.value[1]
+        for batch in batches:
+            qids, sources, targets = (batch.column(c).to_pylist() for c in range(3))
+            for at in range(0, len(qids), 256):
+                out = []
+                for qid, source, target in zip(qids[at:at + 256], sources[at:at + 256], targets[at:at + 256]):
+                    path = paths.meet(ahead, behind, step, source, target, any_path=beam is not None)
+                    if beam is not None and path is not None:
+                        goal, width, pruned, path = paths.Goal(*goals, target), beam, True, None
+                        while path is None and pruned:
+                            path, pruned = paths.relax(ahead, goal, source, target, width)
+                            width *= WIDEN
+                        path = path and (path[0], len(path[1]) - 1, path[1])
+                    if path is not None:
+                        out.append((qid, source, target, path[0], path[1], list(path[2])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
+                        pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int64())))],
+                        names=["qid", *PAIR, "cost", "hops", "path"])
+
+    asked = whole.select("qid", *PAIR) if beam is not None else whole.select(F.lit(0).cast("long").alias("qid"), *PAIR).distinct()
+    # a pair is little to send and much to do
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    found = reliable_checkpoint(asked.repartition(parts, *PAIR).mapInArrow(
+        search, "qid long, source long, target long, cost double, hops int, path array<long>"))
+    if beam is not None:
+        return found
+    return pairs.where(F.col("qid").isNotNull()).join(found.drop("qid"), PAIR).select("qid", *PAIR, "cost", "hops", "path")
 
 
 def _meet(edges: DataFrame, pairs: DataFrame, any_path: bool = False) -> DataFrame:
@@ -90,11 +177,7 @@ def _meet(edges: DataFrame, pairs: DataFrame, any_path: bool = False) -> DataFra
 
     Equal costs go to the path with fewer hops, then to the smaller one."""
     spark = edges.sparkSession
-    e = edges.select("src", "dst", F.col("cost").cast("double").alias("w"))
-    legs = (e.select(F.lit(False).alias("back"), F.col("src").alias("node"), F.col("dst").alias("next"), "w")
-            .unionByName(e.select(F.lit(True).alias("back"), F.col("dst").alias("node"), F.col("src").alias("next"), "w"))
-            .groupBy("back", "node", "next").agg(F.min("w").alias("w")))
-    legs, drop_legs = stored(legs, "path-legs")
+    legs, drop_legs = stored(_legs(edges), "path-legs")
     step = legs.agg(F.avg("w")).first()[0] or 0.0
     asked = pairs.where(F.col("qid").isNotNull()).select(*PAIR).distinct().where("source is not null and target is not null")
     node_type = asked.schema["source"].dataType.simpleString()

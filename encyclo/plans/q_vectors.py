@@ -186,6 +186,10 @@ def v7_word_algebra(spark, sf_dir):
     return VO.word_algebra(mixed.unionByName(only_neg), emb)
 
 
+# legs of a graph that tasks may hold: 16 bytes each, so 48 MB a worker
+LOCAL_LEGS = 3_000_000
+
+
 @register("g3_shortest_paths")
 def g3_shortest_paths(spark, sf_dir):
     """Exact shortest path from every vector to the next id over its 5-NN graph (cost 1 - cos)."""
@@ -195,7 +199,7 @@ def g3_shortest_paths(spark, sf_dir):
     ids = emb.select(F.col("vec_id").cast("long").alias("source"))
     pairs = (ids.join(ids.select(F.col("source").alias("target")), F.col("target") == F.col("source") + 1)
              .withColumn("qid", F.col("source")))
-    return shortest_paths(edges, pairs)
+    return shortest_paths(edges, pairs, local_legs=LOCAL_LEGS)
 
 
 @register("g4_beam_paths")
@@ -207,7 +211,7 @@ def g4_beam_paths(spark, sf_dir):
     ids = emb.select(F.col("vec_id").cast("long").alias("source"))
     pairs = (ids.join(ids.select(F.col("source").alias("target")), F.col("target") == F.col("source") + 1)
              .withColumn("qid", F.col("source")))
-    return shortest_paths(edges, pairs, vectors=emb, heuristic_weight=4.0, beam=60)
+    return shortest_paths(edges, pairs, vectors=emb, heuristic_weight=4.0, beam=60, local_legs=LOCAL_LEGS)
 
 
 @register("j14_neighbors_as_text", f"""WITH {_E},
